@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import base, thermo  # noqa: F401
 
-def queries() -> dict:
-    return {}
 
+def queries() -> dict[str, base.Plan]:
+    return dict(base.QUERIES)
 
-def oracle_sql() -> dict:
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(base.ORACLES)
