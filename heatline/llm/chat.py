@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tables
+
 Turns = list[tuple[str, str]]
 SCHEMA = "conv_id long, n_turns long, formatted string, turn_starts array<long>, turn_ends array<long>, loss_starts array<long>, loss_ends array<long>, rewrites boolean"
 END = "</turn>\n"
@@ -117,7 +119,7 @@ def _format(batches: Iterator[pa.RecordBatch], template: Callable[[Turns], str],
 def format_conversations(df: DataFrame, *, template: Callable[[Turns], str] = marked_turns, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per conversation: the rendering, every turn's span, the spans under the loss mask, and ``rewrites``."""
     order = ["conv_id", F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text")]
-    dealt = df.select(F.col("conv_id").cast("long"), "turn", "role", "text").repartition("conv_id").sortWithinPartitions(*order)
+    dealt = tables.small_batches(df).select(F.col("conv_id").cast("long"), "turn", "role", "text").repartition("conv_id").sortWithinPartitions(*order)
     return dealt.select("conv_id", "role", "text").mapInArrow(lambda batches: _format(batches, template, frozenset(learn)), SCHEMA)
 
 

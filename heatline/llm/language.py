@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import textnum
+from . import tables, textnum
 
 BITS, SMOOTHING = 16, 0.5
 MAX_DOCS, TASKS, STEPS, PENALTY, LARGEST_SET, UNITS = 4_000, 8, 12, 3.0, 3, 200_000
@@ -74,7 +74,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, *, max_docs: int = MAX_DOCS, tasks: int = TASKS) -> tuple[list[str], np.ndarray]:
     """Languages in order and their log probabilities (buckets x languages), from (doc_id, text, lang)."""
-    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
+    known = tables.small_batches(docs).filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return [], np.zeros((1 << BITS, 0))

@@ -178,7 +178,7 @@ def _cross_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, perc
 
 def near_groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = tables.small_batches(df).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     profiles = tables.stage(docs.mapInArrow(lambda b: _profiles(b, width), PROFILE), "profiles")
     classes = profiles.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hi", "set_lo")
     classes = classes.agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "signature")])

@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tokens
+from . import tables, tokens
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Ids packed together: bounds a task's memory, and what one cut remainder can cost.
-BLOCK_TOKENS = 4_000_000
-_BATCH_BYTES = 8 << 20
+BLOCK_TOKENS = 2_000_000
+_BATCH_BYTES = 4 << 20
 
 
 def closest_multiset(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -168,4 +168,4 @@ def pack(
         types = [pa.int64()] * 6 + [pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    return df.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, SCHEMA)
+    return tables.small_batches(df).select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, SCHEMA)

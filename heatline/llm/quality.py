@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import textnum
+from . import tables, textnum
 
 BITS, SCALE = 18, 16.0
 ALPHA, BETA, L1, L2 = 0.5, 0.1, 1e-4, 1e-4
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, bits: int = BITS, max_docs: int =
     if n > max_docs:
         known = known.filter(F.pmod("_order", F.lit(1_000_000)) < int(1_000_000 * max_docs / n))
     # At most about max_docs narrow rows, whatever the input's size.
-    chosen = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).join(F.broadcast(known), F.col("_doc") == F.col("_id"))
+    chosen = tables.small_batches(docs).select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).join(F.broadcast(known), F.col("_doc") == F.col("_id"))
     dealt = chosen.repartition(shards, F.col("_order")).sortWithinPartitions("_order").select("_text", "_label")
     found = dealt.mapInArrow(lambda batches: _train(batches, bits, epochs), "docs long, weights binary").collect()
     if not found:

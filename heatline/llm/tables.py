@@ -25,6 +25,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/heatline-{uuid.uuid4().hex}/{name}"
 
 
+def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
+    """``df``, after limiting the rows of Arrow batches in its session: texts are long, and memory goes by the batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = shared_path(df.sparkSession, name)

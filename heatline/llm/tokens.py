@@ -22,10 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import tables
+
 #: Bytes of one call of the tokenizer, and of the text whose pieces are held at a time.
 ENCODE_BYTES, GROUP_CHARS = 1 << 19, 1 << 20
 #: Pieces that a Python worker remembers, and the longest of them.
-CACHE_PIECES, CACHE_CHARS = 1_000_000, 48
+CACHE_PIECES, CACHE_CHARS = 400_000, 48
 
 _ODD = re.compile("[\x1c-\x1f]")
 _CUT = re.compile(r"(?<=\S)\s")
@@ -75,10 +77,17 @@ class PieceCoder:
         if batch:
             yield from self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)
 
-    def lengths(self, pieces: list[str]) -> np.ndarray:
-        known = self.known
+    @staticmethod
+    def forget(known: dict, pieces: list[str]) -> None:
+        """A full memory keeps what the present pieces need, and so most of what is frequent."""
         if len(known) > CACHE_PIECES:
+            kept = {p: known[p] for p in set(pieces).intersection(known)}
             known.clear()
+            known.update(kept)
+
+    def lengths(self, pieces: list[str]) -> np.ndarray:
+        known = self.known
+        self.forget(known, pieces)
         new = list(set(pieces).difference(known))
         known.update(zip(new, map(len, self.encode(new)), strict=True))
         out = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
@@ -90,8 +99,7 @@ class PieceCoder:
     def ids(self, pieces: list[str]) -> bytes:
         """The ids of all pieces in order as little-endian unsigned 32-bit numbers."""
         known = self.known_ids
-        if len(known) > CACHE_PIECES:
-            known.clear()
+        self.forget(known, pieces)
         new = list(set(pieces).difference(known))
         known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, self.encode(new), strict=True))
         out = b"".join(map(known.__getitem__, pieces))
@@ -158,7 +166,7 @@ def with_token_counts(df: DataFrame, path: str, text: str = "text", limit: int =
     """``df`` with n_bytes (UTF-8), n_tokens and over_limit (more than ``limit`` tokens)."""
     n = token_count(F.col(text), path, spaces)
     return (
-        df.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
+        tables.small_batches(df).withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
         .withColumn("n_tokens", n)
         .withColumn("over_limit", F.col("n_tokens") > limit)
     )

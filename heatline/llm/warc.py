@@ -116,7 +116,7 @@ def write(pages: DataFrame, folder: str, *, min_bytes: int = 0) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"path": [name], "bytes": [size], "records": [records]}, pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())]))
 
     scheme = "" if folder.startswith(("/", "file:")) else folder.split("://")[0] + "://"
-    manifest = mark_copies(pages, min_bytes=min_bytes).mapInArrow(run, MANIFEST)
+    manifest = mark_copies(tables.small_batches(pages), min_bytes=min_bytes).mapInArrow(run, MANIFEST)
     manifest = tables.stage(manifest, "warc_manifest")
     return manifest.withColumn("path", F.concat(F.lit(scheme), "path")) if scheme else manifest
 
@@ -211,7 +211,7 @@ def read(manifest: DataFrame, *, range_bytes: int = RANGE_BYTES, payloads: bool
                             row["payload"] = None
                         rows.append(row)
                         held += len(row["payload"] or b"") + 500
-                        if held >= 4 << 20:
+                        if held >= 2 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, held = [], 0
                 if rows:
