@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, relational, thermo  # noqa: F401
+from .plans import balance, base, relational, scoring, stats, thermo  # noqa: F401
 
 
 def queries() -> dict[str, base.Plan]:
