@@ -8,11 +8,14 @@
    of a bucket is compared with the bucket's hub only.  Signatures thin the pairs,
    and links are confirmed on the full sets, recomputed from the whole texts.
 4. Large-star and small-star turn links into components.  Buckets whose members
-   are in several components then compare members of different components by their
-   signatures, in blocks of bounded size: first the best partner in each other
-   component, then, after another turn, whatever is left.  Pairs inside a component
-   need no look, so a group of n near copies costs about n comparisons, yet no
-   candidate link between two components goes untested.
+   are in several components then compare signatures across components, in blocks of
+   bounded size, which gives the documents still to be compared with some larger
+   component.  Each is held against the members of that component, block by block,
+   until a link is confirmed; the links join and components are found once more.
+
+Pairs inside a component need no look and no pair is written for a member of a
+component, so a group of n near copies costs about n rows, yet every candidate link
+between two components is tested or made needless by another between them.
 
 A link at the threshold 0.75 shares no band with probability (1 - 0.75**4)**32, about
 5e-6, and fails the signature test with about 3e-7; longer sets make no difference.
@@ -123,8 +126,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return rows.repartition("x", "salt").sortWithinPartitions("x", "salt", "role", "doc").mapInArrow(run, PAIR)
 
 
-def _across(batches: Iterator[pa.RecordBatch], percent: int, best_only: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs between components, in one pair of blocks of a bucket after the other."""
+def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(x, component): documents that may be linked with some member of another, larger component.
+
+    Takes one pair of blocks of a bucket after the other; a bucket's main component
+    is compared with what lies outside it only.
+    """
     least = _least_matches(percent)
     key, held = None, []
 
@@ -132,26 +139,21 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, best_only: bool) ->
         if len(held) < 2:
             return
         low, high = key[1], key[2]
-        block, doc, size, comp = (np.array([r[k] for r in held]) for k in range(4))
-        sig = np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(len(held), -1)
+        block, doc, size, comp, members = (np.array([r[k] for r in held]) for k in range(5))
+        sig = np.frombuffer(b"".join(r[5] for r in held), np.uint8).reshape(len(held), -1)
         names, counts = np.unique(comp, return_counts=True)
-        outside = np.flatnonzero(comp != names[counts.argmax()])
-        pairs: set[tuple[int, int]] = set()
-        for i in outside:
+        asked: set[tuple[int, int]] = set()
+        for i in np.flatnonzero(comp != names[counts.argmax()]):
             ok = (comp != comp[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
             if low != high:
                 ok &= block != block[i]
             at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            alike = (sig[at] == sig[i]).sum(1)
-            at, alike = at[alike >= least], alike[alike >= least]
-            if best_only and len(at):
-                at = at[np.lexsort((doc[at], -alike))]
-                at = at[np.unique(comp[at], return_index=True)[1]]
-            pairs.update((min(doc[i], doc[k]), max(doc[i], doc[k])) for k in at)
-        if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in pairs], pa.int64()) for k in (0, 1)], names=["x", "y"])
+            at = at[(sig[at] == sig[i]).sum(1) >= least]
+            larger = (members[at] > members[i]) | ((members[at] == members[i]) & (comp[at] < comp[i]))
+            asked.update((int(doc[i]), int(c)) for c in np.unique(comp[at[larger]]))
+            asked.update((int(d), int(comp[i])) for d in doc[at[~larger]])
+        if asked:
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in asked], pa.int64()) for k in (0, 1)], names=["x", "component"])
 
     for b in batches:
         columns = [c.to_pylist() for c in b.columns]
@@ -163,8 +165,11 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, best_only: bool) ->
     yield from compare()
 
 
-def _cross_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    named = members.join(labels, members["doc_id"] == labels["node"], "left").select("bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+def _across_components(members: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Distinct (x, component) still to be compared; ``labels`` has node, component and members."""
+    named = members.join(labels, members["doc_id"] == labels["node"], "left").select(
+        "bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("members", F.lit(1).cast("long")).alias("members")
+    )
     named = tables.stage(named, "members_named")
     open_buckets = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
     open_buckets = tables.stage(open_buckets, "open_buckets")
@@ -173,7 +178,60 @@ def _cross_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, perc
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     dealt = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    return dealt.select("bucket", "low", "high", "block", "doc_id", "n_shingles", "component", "signature").mapInArrow(lambda b: _across(b, percent, best_only), PAIR).distinct()
+    columns = ("bucket", "low", "high", "block", "doc_id", "n_shingles", "component", "members", "signature")
+    return dealt.select(*columns).mapInArrow(lambda b: _across(b, percent), "x long, component long").distinct()
+
+
+def _members_linked(asked: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """For each (x, component) a link of x, confirmed on the full sets, with one member in each block of the component that has any.
+
+    A component's members are sent once, in blocks; each x is sent to every block and
+    compared with the members whose signatures allow a link, until one is confirmed.
+    """
+    least = _least_matches(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, inside = None, []
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            comps, blocks, roles, docs, sigs = (b.column(k).to_pylist() for k in range(5))
+            for i, part in textnum.byte_slices(b.column(5)):
+                sets, bounds = shingles.shingle_sets(part, width)
+                for k in range(len(part)):
+                    own, sig = sets[bounds[k] : bounds[k + 1]], np.frombuffer(sigs[i + k], np.uint8)
+                    if (comps[i + k], blocks[i + k]) != key:
+                        key, inside, stacked = (comps[i + k], blocks[i + k]), [], None
+                    if roles[i + k] == 0:
+                        inside.append((docs[i + k], own.copy(), sig))
+                        continue
+                    if not inside:
+                        continue
+                    if stacked is None:
+                        stacked = np.stack([s for _, _, s in inside])
+                    alike = (stacked == sig).sum(1)
+                    for m in np.argsort(-alike, kind="stable"):
+                        if alike[m] < least:
+                            break
+                        doc, other, _ = inside[m]
+                        if 100 * min(len(own), len(other)) < percent * max(len(own), len(other)):
+                            continue
+                        shared = shingles.overlap(own, other)
+                        if 100 * shared >= percent * (len(own) + len(other) - shared):
+                            found.append((docs[i + k], doc))
+                            break
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["x", "y"])
+
+    wanted = tables.stage(asked.select("component").distinct(), "components_asked")
+    # A component of one document isn't among the labels; it is its own only member.
+    own = wanted.join(labels.select("component", "node", "members"), "component", "left")
+    own = own.select("component", F.coalesce("node", "component").alias("doc"), F.ceil(F.coalesce("members", F.lit(1)) / BLOCK).alias("blocks"))
+    own = tables.stage(own, "members_asked")
+    sizes = tables.stage(own.groupBy("component").agg(F.max("blocks").alias("blocks")), "blocks_asked")
+    inside = own.select("component", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"), F.lit(0).alias("role"), "doc")
+    outside = asked.join(sizes, "component").select("component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), F.col("x").alias("doc"))
+    rows = inside.union(outside).join(texts, "doc").join(classes.select(F.col("doc_id").alias("doc"), "signature"), "doc")
+    dealt = rows.repartition("component", "block").sortWithinPartitions("component", "block", "role", "doc")
+    return dealt.select("component", "block", "role", "doc", "signature", "text").mapInArrow(run, PAIR)
 
 
 def near_groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -191,23 +249,17 @@ def near_groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wi
     candidates = tables.stage(members.select(F.col("doc_id").alias("doc")).distinct(), "candidates")
     texts = tables.stage(docs.withColumnRenamed("doc_id", "doc").join(candidates, "doc", "left_semi").dropDuplicates(["doc"]), "candidate_texts")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return tables.stage(_confirmed(pairs, texts, width, percent), "links")
-
     star = members.filter("doc_id <> hub").select(F.least("hub", "doc_id").alias("x"), F.greatest("hub", "doc_id").alias("y")).distinct()
-    tested = tables.stage(_similar_signatures(star, classes, percent), "pairs")
-    links = confirm(tested)
+    pairs = tables.stage(_similar_signatures(star, classes, percent), "pairs")
+    links = tables.stage(_confirmed(pairs, texts, width, percent), "links")
     labels = tables.stage(components.connected(links), "labels")
-    for best_only in (True, False):
-        pairs = _cross_pairs(members, classes, labels, percent, best_only).join(tested, ["x", "y"], "left_anti")
-        pairs = tables.stage(pairs, "cross_pairs")
-        if pairs.isEmpty():
-            break
-        tested = tested.union(pairs)
-        found = confirm(pairs)
+    sizes = tables.stage(labels.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component_sizes")
+    sized = tables.stage(labels.join(sizes, "component").select("node", "component", "members"), "labels_sized")
+    asked = tables.stage(_across_components(members, classes, sized, percent), "asked")
+    if not asked.isEmpty():
+        found = tables.stage(_members_linked(asked, sized, classes, texts, width, percent), "links_across")
         if not found.isEmpty():
-            links = links.union(found)
-            labels = tables.stage(components.connected(links), "labels")
+            labels = tables.stage(components.connected(links.union(found)), "labels")
 
     named = classes.join(labels, classes["doc_id"] == labels["node"], "left").select("set_hi", "set_lo", "copies", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     named = tables.stage(named.filter("copies > 1 OR component <> doc_id").select("set_hi", "set_lo", "component"), "components")
