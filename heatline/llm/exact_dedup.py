@@ -1,7 +1,8 @@
 """Exact deduplication by content-defined chunk recipes, in DataFrame functions only.
 
-A normalised text is cut where its own content says so (after a line end or full
-stop once a least length is reached), each chunk is fingerprinted inside its row,
+A normalised text is cut where its own content says so (before a word of seven
+characters that one of three follows, about once in a hundred words, and past a
+least length), so shared passages give shared chunks wherever they stand.  Each chunk is fingerprinted inside its row,
 and a document becomes the ordered list of its chunks' fingerprints: its recipe.
 Chunk texts move once, deduplicated before the shuffle, to verify that no two
 different chunks share a fingerprint.  Fingerprints that fail get identifiers of
@@ -24,7 +25,9 @@ from . import tables
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Least and largest chunk, in UTF-16 units.
-MIN_CHUNK, MAX_CHUNK = 512, 4096
+MIN_CHUNK, MAX_CHUNK = 128, 4096
+#: What follows a cut.
+BOUNDARY = r"\s(?=\S{7}\s\S{3}\s)"
 
 
 def normalised(text: Column) -> Column:
@@ -35,7 +38,7 @@ def normalised(text: Column) -> Column:
 
 def chunks(text: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Column:
     """The chunks of ``text`` in order; together they are the text."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{most - 1}}}?[.\n]|.{{1,{most}}}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{most - 1}}}?{BOUNDARY}|.{{1,{most}}}"), F.lit(0))
 
 
 def recipes(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", fingerprint: Callable[[Column], Column] = F.xxhash64, name: str = "recipes") -> DataFrame:
