@@ -7,7 +7,7 @@ the sparse vector of its n-grams' shares, times ``SCALE``, and its score the
 logistic function of one sparse dot product with the weights.
 
 Training takes a sample of at most about ``max_docs`` labelled documents, chosen
-by a hash of doc_id, dealt to ``shards`` tasks.  Each runs FTRL-proximal over its
+by a hash of doc_id, dealt to tasks of ``SHARD_DOCS`` each.  Each runs FTRL-proximal over its
 part in ``epochs`` passes; the weights are the shards' mean (``2**bits`` numbers,
 so what reaches the driver is bounded by the parameters).
 
@@ -30,7 +30,7 @@ from . import tables, textnum
 
 BITS, SCALE = 18, 16.0
 ALPHA, BETA, L1, L2 = 0.5, 0.1, 1e-4, 1e-4
-MAX_DOCS, SHARDS, EPOCHS, BATCH = 16_000, 8, 2, 8
+MAX_DOCS, SHARD_DOCS, EPOCHS, BATCH = 16_000, 2_000, 3, 8
 THRESHOLD = 0.7
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 _SAME = np.uint64(0x5851F42D4C957F2D)
@@ -106,7 +106,7 @@ def learnable(doc_id: Column, parts: int = 4, kept_out: int = 2) -> Column:
     return ~F.coalesce(F.crc32(doc_id.cast("string")) % parts == kept_out, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, bits: int = BITS, max_docs: int = MAX_DOCS, shards: int = SHARDS, epochs: int = EPOCHS) -> np.ndarray | None:
+def fit(docs: DataFrame, labels: DataFrame, *, bits: int = BITS, max_docs: int = MAX_DOCS, epochs: int = EPOCHS) -> np.ndarray | None:
     """Weights (the bias last) from labelled documents: ``labels`` has doc_id and quality (0 or 1)."""
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label"))
     n = known.count()
@@ -115,6 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, bits: int = BITS, max_docs: int =
         known = known.filter(F.pmod("_order", F.lit(1_000_000)) < int(1_000_000 * max_docs / n))
     # At most about max_docs narrow rows, whatever the input's size.
     chosen = tables.small_batches(docs).select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).join(F.broadcast(known), F.col("_doc") == F.col("_id"))
+    shards = max(1, -(-min(n, max_docs) // SHARD_DOCS))
     dealt = chosen.repartition(shards, F.col("_order")).sortWithinPartitions("_order").select("_text", "_label")
     found = dealt.mapInArrow(lambda batches: _train(batches, bits, epochs), "docs long, weights binary").collect()
     if not found:
