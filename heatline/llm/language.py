@@ -156,11 +156,12 @@ def with_language(df: DataFrame, training: DataFrame, *, text: str = "text", max
             score += s.tolist()
         return pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
 
-    found = df.withColumn("_guess", guess(F.col(text)))
+    own = tables.fresh(df, "guess_")
+    found = df.withColumn(own, guess(F.col(text)))
     return (
-        found.withColumn("lang_pred", F.when(letters, F.col("_guess.lang")).otherwise("und"))
-        .withColumn("lang_score", F.when(letters, F.col("_guess.score")).otherwise(0.0))
-        .drop("_guess")
+        found.withColumn("lang_pred", F.when(letters, F.col(own)["lang"]).otherwise("und"))
+        .withColumn("lang_score", F.when(letters, F.col(own)["score"]).otherwise(0.0))
+        .drop(own)
     )
 
 

@@ -151,12 +151,14 @@ def mix(
     n_tokens = words(F.col("text")) if tokens is None else tokens
     sized = tables.stage(df.select(F.col(doc_id).alias("doc_id"), own_source.alias("source"), n_tokens.alias("n_tokens")), "sized")
     table, drawn = weights(sized, budget=budget, cover=cover, entropy=entropy, max_repeats=max_repeats)
-    edges = _edges(sized, table, seed).select(*[F.col(c).alias(f"_{c}") for c in ("source", "full", "epochs", "tokens", "last")])
-    rows = df.join(edges, own_source == F.col("_source"))
-    extra = (_rank(F.col("_full") + 1, F.col(doc_id), seed) <= F.col("_last")).cast("long")
-    times = F.when(F.col("_tokens") > 0, F.col("_full") + F.coalesce(extra, F.lit(0))).otherwise(1)
+    own = tables.fresh(df, "mix_")
+    edges = _edges(sized, table, seed).select(*[F.col(c).alias(own + c) for c in ("source", "full", "epochs", "tokens", "last")])
+    rows = df.join(edges, own_source == F.col(own + "source"))
+    full, epochs = F.col(own + "full"), F.col(own + "epochs")
+    extra = (_rank(full + 1, F.col(doc_id), seed) <= F.col(own + "last")).cast("long")
+    times = F.when(F.col(own + "tokens") > 0, full + F.coalesce(extra, F.lit(0))).otherwise(1)
     rows = rows.withColumn("mix_epoch", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times))))
-    place = (F.col("mix_epoch") - 1 + _rank(F.col("mix_epoch"), F.col(doc_id), seed) / F.lit(float(1 << 62))) / F.greatest(F.col("_epochs"), F.lit(1e-9))
+    place = (F.col("mix_epoch") - 1 + _rank(F.col("mix_epoch"), F.col(doc_id), seed) / F.lit(float(1 << 62))) / F.greatest(epochs, F.lit(1e-9))
     blocks = max(1, math.ceil(drawn / block_tokens))
     rows = rows.withColumn("mix_order", F.least(place, F.lit(1.0))).withColumn("mix_block", F.least(F.floor(F.col("mix_order") * blocks), F.lit(blocks - 1)).cast("long"))
     return rows.drop(*edges.columns)

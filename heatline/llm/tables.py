@@ -33,6 +33,13 @@ def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
     return df
 
 
+def fresh(df: DataFrame, prefix: str) -> str:
+    """A prefix that no column of ``df`` begins with."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = shared_path(df.sparkSession, name)
