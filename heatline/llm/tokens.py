@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,13 @@ from . import tables
 #: Bytes of one call of the tokenizer, and of the text whose pieces are held at a time.
 ENCODE_BYTES, GROUP_CHARS = 1 << 19, 1 << 20
 #: Pieces that a Python worker remembers, and the longest of them.
-CACHE_PIECES, CACHE_CHARS = 400_000, 48
+CACHE_PIECES, CACHE_CHARS = 700_000, 48
 
 _ODD = re.compile("[\x1c-\x1f]")
 _CUT = re.compile(r"(?<=\S)\s")
 _PIECES = re.compile(r"\s*\S+|\s+")
+#: Marks that are a token, or several, of their own behind a word.
+_MARKS = ".,;:!?%&*#$"
 _coders: dict[tuple[str, bool], "PieceCoder"] = {}
 
 
@@ -59,6 +62,8 @@ class PieceCoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.find = _PIECES.findall if spaces else str.split
+        #: A vocabulary that drops white space is one of lower case here.
+        self.folds = not spaces
         self.known: dict[str, int] = {}
         self.known_ids: dict[str, bytes] = {}
 
@@ -85,29 +90,53 @@ class PieceCoder:
             known.clear()
             known.update(kept)
 
-    def lengths(self, pieces: list[str]) -> np.ndarray:
-        known = self.known
-        self.forget(known, pieces)
-        new = list(set(pieces).difference(known))
-        known.update(zip(new, map(len, self.encode(new)), strict=True))
-        out = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-        for p in new:
-            if len(p) > CACHE_CHARS:
-                del known[p]
-        return out
+    def learn(self, known: dict, pieces: list[str], value: Callable) -> list[str]:
+        """Makes every piece known and returns the new ones.
 
-    def ids(self, pieces: list[str]) -> bytes:
-        """The ids of all pieces in order as little-endian unsigned 32-bit numbers."""
-        known = self.known_ids
+        A word of letters with marks behind it is put together from the two, which
+        are tokens apart in any text; without spaces, ASCII case makes no difference.
+        """
         self.forget(known, pieces)
-        new = list(set(pieces).difference(known))
-        known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, self.encode(new), strict=True))
-        out = b"".join(map(known.__getitem__, pieces))
+        new, parts = list(set(pieces).difference(known)), []
+        needed = set()
         for p in new:
-            if len(p) > CACHE_CHARS:
-                del known[p]
+            q = p.lower() if self.folds and "<" not in p and p.isascii() else p
+            core = q.rstrip(_MARKS)
+            marks = q[len(core) :] if core != q and core.strip().isalpha() else ""
+            core = core if marks else q
+            parts.append((core, marks))
+            needed.add(core)
+            if marks:
+                needed.add(marks)
+        needed.difference_update(known)
+        asked = list(needed)
+        known.update(zip(asked, map(value, self.encode(asked)), strict=True))
+        for p, (core, marks) in zip(new, parts, strict=True):
+            known[p] = known[core] + known[marks] if marks else known[core]
+        return [p for p in needed.union(new) if len(p) > CACHE_CHARS]
+
+    def lengths(self, pieces: list[str]) -> np.ndarray:
+        long = self.learn(self.known, pieces, len)
+        out = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        for p in long:
+            self.known.pop(p, None)
         return out
 
+    def ids(self, pieces: list[str], bounds: list[int]) -> list[bytes]:
+        """The ids of each run of pieces between two bounds, as little-endian unsigned 32-bit numbers."""
+        long = self.learn(self.known_ids, pieces, lambda e: np.array(e.ids, "<u4").tobytes())
+        every = list(map(self.known_ids.__getitem__, pieces))
+        for p in long:
+            self.known_ids.pop(p, None)
+        return [b"".join(every[a:b]) for a, b in pairwise(bounds)]
+
+
+def release() -> None:
+    """Empties what this Python worker remembers; tasks of other operators may follow in it."""
+    for own in _coders.values():
+        own.known.clear()
+        own.known_ids.clear()
+
 
 def coder(path: str, spaces: bool) -> PieceCoder:
     """One coder for each vocabulary and Python worker."""
@@ -148,8 +177,21 @@ def encode_texts(texts: list[str | None], path: str, spaces: bool, end: int | No
     """For every text its ids, then ``end`` if given, as little-endian unsigned 32-bit numbers."""
     own = coder(path, spaces)
     last = b"" if end is None else np.array([end], "<u4").tobytes()
-    for text in texts:
-        yield b"".join([own.ids(own.pieces(part)) for part in safe_parts(text or "")]) + last
+    done, held = 0, b""  # rows given out, and what is known of the next
+    for group in groups(texts):
+        flat: list[str] = []
+        bounds = [0]
+        for _, part in group:
+            flat += own.pieces(part)
+            bounds.append(len(flat))
+        for (row, _), ids in zip(group, own.ids(flat, bounds), strict=True):
+            while done < row:
+                yield held + last
+                done, held = done + 1, b""
+            held += ids
+    while done < len(texts):
+        yield held + last
+        done, held = done + 1, b""
 
 
 def token_count(text: Column | str, path: str, spaces: bool = True) -> Column:
