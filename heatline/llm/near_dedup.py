@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import components, shingles, tables, textnum
+from . import components, shingles, tables, textnum, tokens
 
 WIDTH, BANDS, ROWS, SEED = 5, 32, 4, 20_240_229
 #: A link has 100 * intersection >= PERCENT * union.
@@ -53,6 +53,7 @@ def _least_matches(percent: int) -> int:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    tokens.release()
     family = shingles.hash_family(BANDS * ROWS, SEED)
     step = np.uint64(0x9E3779B97F4A7C15)
     for b in batches:
