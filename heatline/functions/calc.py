@@ -137,6 +137,23 @@ def normalised_map(composition: Column) -> Column:
     return F.when((F.size(values) > 0) & ~bad & (total > 0), F.transform_values(composition, lambda _, v: F.round(F.try_divide(v, total), 6)))
 
 
+def element_mass(streams: Column, element: Column) -> Column:
+    """Mass of one element in array<struct<mass, elements>>."""
+    return F.aggregate(streams, F.lit(0.0), lambda acc, s: acc + F.coalesce(s["mass"], F.lit(0.0)) * F.coalesce(F.try_element_at(s["elements"], element), F.lit(0.0)))
+
+
+def balance_result(inputs: Column, outputs: Column, tolerance: Column) -> Column:
+    """Totals, mass closure, largest element residual and whether it is within tolerance, as map<string,double>."""
+    total = lambda streams: F.aggregate(streams, F.lit(0.0), lambda acc, s: acc + F.coalesce(s["mass"], F.lit(0.0)))
+    names = F.array_distinct(F.flatten(F.transform(F.concat(inputs, outputs), lambda s: F.map_keys(s["elements"]))))
+    residual = F.aggregate(names, F.lit(0.0), lambda acc, e: F.greatest(acc, F.abs(element_mass(inputs, e) - element_mass(outputs, e))))
+    base = F.when(total(inputs) == 0, 1.0).otherwise(total(inputs))
+    return F.create_map(
+        F.lit("total_input_mass"), F.round(total(inputs), 4), F.lit("total_output_mass"), F.round(total(outputs), 4), F.lit("mass_closure_rate"), F.round(1 - F.abs(total(inputs) - total(outputs)) / base, 6),
+        F.lit("max_element_residual"), F.round(residual, 6), F.lit("passed"), (residual <= tolerance).cast("double"),
+    )
+
+
 # ---- process indices ----
 
 
