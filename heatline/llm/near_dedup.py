@@ -5,8 +5,9 @@
    hash minima each, and one byte of every minimum as its signature.
 2. Documents with equal sets fall into one class, stood for by its smallest id.
 3. Classes that share a band key are candidates.  In the first round every member
-   of a bucket is compared with the bucket's hub only.  Signatures thin the pairs,
-   and links are confirmed on the full sets, recomputed from the whole texts.
+   of a bucket is compared with the bucket's ``HUBS`` hubs only, and with a hub of
+   several buckets once.  Signatures thin the pairs, and links are confirmed on the
+   full sets, recomputed from the whole texts.
 4. Large-star and small-star turn links into components.  Buckets whose members
    are in several components then compare signatures across components, in blocks of
    bounded size, which gives the documents still to be compared with some larger
@@ -42,7 +43,9 @@ WIDTH, BANDS, ROWS, SEED = 5, 32, 4, 20_240_229
 PERCENT = 75
 #: Standard deviations below the threshold at which a signature still passes.
 SLACK = 5.0
-BLOCK, SALTS = 512, 64
+BLOCK, SALTS, HUBS = 512, 64, 4
+#: Pairs that a task remembers, so as not to give them out twice.
+SEEN = 1 << 18
 PROFILE = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, signature binary"
 PAIR = "x long, y long"
 
@@ -135,6 +138,7 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     """
     least = _least_matches(percent)
     key, held = None, []
+    seen: set[tuple[int, int]] = set()
 
     def compare() -> Iterator[pa.RecordBatch]:
         if len(held) < 2:
@@ -153,6 +157,10 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             larger = (members[at] > members[i]) | ((members[at] == members[i]) & (comp[at] < comp[i]))
             asked.update((int(doc[i]), int(c)) for c in np.unique(comp[at[larger]]))
             asked.update((int(d), int(comp[i])) for d in doc[at[~larger]])
+        asked -= seen
+        if len(seen) > SEEN:
+            seen.clear()
+        seen.update(asked)
         if asked:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in asked], pa.int64()) for k in (0, 1)], names=["x", "component"])
 
@@ -244,13 +252,17 @@ def near_groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wi
     classes = tables.stage(classes, "classes")
 
     banded = classes.select("doc_id", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("hub")).filter("n > 1")
+    buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = tables.stage(buckets, "buckets")
     members = tables.stage(banded.join(buckets, "bucket"), "members")
     candidates = tables.stage(members.select(F.col("doc_id").alias("doc")).distinct(), "candidates")
     texts = tables.stage(docs.withColumnRenamed("doc_id", "doc").join(candidates, "doc", "left_semi").dropDuplicates(["doc"]), "candidate_texts")
 
-    star = members.filter("doc_id <> hub").select(F.least("hub", "doc_id").alias("x"), F.greatest("hub", "doc_id").alias("y")).distinct()
+    hubs = members.groupBy("bucket").agg(*[F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k))).alias(f"hub_{k}") for k in range(HUBS)])
+    hubs = tables.stage(hubs.select("bucket", F.array_distinct(F.array(*[f"hub_{k}" for k in range(HUBS)])).alias("hubs")), "hubs")
+    # A document is in BANDS buckets at most, so what is gathered for it is bounded.
+    held = members.select("bucket", "doc_id").join(hubs, "bucket").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs"))
+    star = held.select("doc_id", F.explode("hubs").alias("hub")).filter("doc_id <> hub").select(F.least("hub", "doc_id").alias("x"), F.greatest("hub", "doc_id").alias("y")).distinct()
     pairs = tables.stage(_similar_signatures(star, classes, percent), "pairs")
     links = tables.stage(_confirmed(pairs, texts, width, percent), "links")
     labels = tables.stage(components.connected(links), "labels")
