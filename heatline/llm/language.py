@@ -9,9 +9,9 @@ the likelihood gains more than ``penalty * ln(1 + words)`` for each; the predict
 is the set's largest member and the score its proportion.
 
 Counts come from a sample of at most about ``max_docs`` labelled documents of each
-language, chosen by a hash of doc_id; what reaches the driver is one array of
-``2**BITS`` counts for each language and training task.  Very long texts take
-several words as one unit, so a document has at most ``UNITS`` of them.
+language, chosen by a hash of doc_id.  They are summed before they are gathered, so
+what reaches the driver is ``2**BITS`` counts of each language at most.  Very long
+texts take several words as one unit, so a document has at most ``UNITS`` of them.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is every
 text where there was nothing to learn from.  Ties go to the first language in
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import tables, textnum
 
 BITS, SMOOTHING = 16, 0.5
-MAX_DOCS, TASKS, STEPS, PENALTY, LARGEST_SET, UNITS = 4_000, 8, 12, 3.0, 3, 200_000
+MAX_DOCS, STEPS, PENALTY, LARGEST_SET, UNITS = 4_000, 12, 3.0, 3, 200_000
 _PIECE = 1 << 19
 
 #: Bytes of letters (all of non-ASCII) stay, others become 0, the word edge.
@@ -68,11 +68,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(rows), 128):
                 found = np.bincount(grams(b.column(0).take(pa.array(rows[i : i + 128])))[0], minlength=1 << BITS)
                 sums[lang] = sums.get(lang, 0) + found
-    if sums:
-        yield pa.RecordBatch.from_pydict({"lang": list(sums), "counts": [v.astype("<f8").tobytes() for v in sums.values()]}, pa.schema([("lang", pa.string()), ("counts", pa.binary())]))
+    for lang, counts in sums.items():
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["lang", "bucket", "n"])
+
+
+def log_table(found: pa.Table) -> tuple[list[str], np.ndarray]:
+    """Languages in order and their log probabilities (buckets x languages), from rows of lang, bucket and n."""
+    names = found["lang"].to_pylist()
+    langs = sorted(set(names))
+    place = {lang: i for i, lang in enumerate(langs)}
+    table = np.full((1 << BITS, len(langs)), SMOOTHING)
+    np.add.at(table, (found["bucket"].to_numpy(), np.array([place[x] for x in names], np.int64)), found["n"].to_numpy())
+    return langs, np.log(table / table.sum(0)).astype(np.float32)
 
 
-def fit(docs: DataFrame, *, max_docs: int = MAX_DOCS, tasks: int = TASKS) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, *, max_docs: int = MAX_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages in order and their log probabilities (buckets x languages), from (doc_id, text, lang)."""
     known = tables.small_batches(docs).filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -80,12 +91,8 @@ def fit(docs: DataFrame, *, max_docs: int = MAX_DOCS, tasks: int = TASKS) -> tup
         return [], np.zeros((1 << BITS, 0))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1_000_000, int(1_000_000 * max_docs / n) + 1))])
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
-    counts: dict[str, np.ndarray] = {}
-    for r in chosen.repartition(tasks, F.xxhash64("doc_id")).select("text", "lang").mapInArrow(_count, "lang string, counts binary").collect():
-        counts[r["lang"]] = counts.get(r["lang"], 0) + np.frombuffer(r["counts"], "<f8")
-    langs = sorted(counts)
-    table = np.stack([counts[x] for x in langs], 1) + SMOOTHING
-    return langs, np.log(table / table.sum(0)).astype(np.float32)
+    counts = chosen.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return log_table(counts.toArrow())
 
 
 def _mixture(likely: np.ndarray, rows: np.ndarray, bounds: np.ndarray, start: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:

@@ -68,10 +68,7 @@ def test_language_on_held_out_documents(spark):
 
 def model_of(samples):
     batch = pa.RecordBatch.from_pydict({"t": [t for _, t in samples], "l": [x for x, _ in samples]})
-    counts = {r["lang"]: np.frombuffer(r["counts"], "<f8") for r in next(language._count(iter([batch]))).to_pylist()}
-    names = sorted(counts)
-    table = np.stack([counts[n] for n in names], 1) + language.SMOOTHING
-    return names, np.log(table / table.sum(0)).astype(np.float32)
+    return language.log_table(pa.Table.from_batches(language._count(iter([batch]))))
 
 
 SAMPLES = [("en", "the thing was that and with the others from there " * 20), ("de", "und der mit ungen heit keit schlich verein auf das " * 20), ("fr", "les eaux tion ment que dans vous étaient leur elle " * 20)]
