@@ -7,9 +7,9 @@ the sparse vector of its n-grams' shares, times ``SCALE``, and its score the
 logistic function of one sparse dot product with the weights.
 
 Training takes a sample of at most about ``max_docs`` labelled documents, chosen
-by a hash of doc_id, dealt to tasks of ``SHARD_DOCS`` each.  Each runs FTRL-proximal over its
-part in ``epochs`` passes; the weights are the shards' mean (``2**bits`` numbers,
-so what reaches the driver is bounded by the parameters).
+by a hash of doc_id, in shards of about ``SHARD_DOCS`` each.  FTRL-proximal runs over every
+shard in ``epochs`` passes; the weights are the shards' mean (``2**bits`` numbers of
+each shard, so what reaches the driver is bounded by the parameters).
 
 Null and empty texts have no n-grams and get the bias alone.  Null labels are not
 learned from; a document labelled twice is learned twice.  Without any labelled
@@ -78,27 +78,36 @@ class Ftrl:
 
 
 def _train(batches: Iterator[pa.RecordBatch], bits: int, epochs: int) -> Iterator[pa.RecordBatch]:
+    """Rows come by shard; each shard gives one row of weights, whatever tasks it is dealt to."""
+    shard: int | None = None
     docs: list[tuple[np.ndarray, np.ndarray]] = []
     labels: list[int] = []
+
+    def close() -> pa.RecordBatch:
+        model, y = Ftrl(bits), np.array(labels, float)
+        for _ in range(epochs):
+            for i in range(0, len(docs), BATCH):
+                some = docs[i : i + BATCH]
+                features = np.concatenate([np.append(f, 1 << bits) for f, _ in some])
+                values = np.concatenate([np.append(v, 1.0) for _, v in some])
+                rows = np.repeat(np.arange(len(some)), [len(f) + 1 for f, _ in some])
+                model.learn(features, values, rows, y[i : i + BATCH])
+        return pa.RecordBatch.from_pydict({"docs": [len(docs)], "weights": [model.weights().astype("<f4").tobytes()]}, pa.schema([("docs", pa.int64()), ("weights", pa.binary())]))
+
     for b in batches:
         for i in range(0, len(b), 64):
             part = b.slice(i, 64)
             buckets, bounds = gram_buckets(part.column(0), bits)
-            for k in range(len(part)):
+            for k, (label, own) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                if own != shard:
+                    if docs:
+                        yield close()
+                    shard, docs, labels = own, [], []
                 found, counts = np.unique(buckets[bounds[k] : bounds[k + 1]], return_counts=True)
                 docs.append((found.astype(np.int32), (counts * (SCALE / max(1, counts.sum()))).astype(np.float32)))
-            labels += part.column(1).to_pylist()
-    if not docs:
-        return
-    model, y = Ftrl(bits), np.array(labels, float)
-    for _ in range(epochs):
-        for i in range(0, len(docs), BATCH):
-            some = docs[i : i + BATCH]
-            features = np.concatenate([np.append(f, 1 << bits) for f, _ in some])
-            values = np.concatenate([np.append(v, 1.0) for _, v in some])
-            rows = np.repeat(np.arange(len(some)), [len(f) + 1 for f, _ in some])
-            model.learn(features, values, rows, y[i : i + BATCH])
-    yield pa.RecordBatch.from_pydict({"docs": [len(docs)], "weights": [model.weights().astype("<f4").tobytes()]}, pa.schema([("docs", pa.int64()), ("weights", pa.binary())]))
+                labels.append(label)
+    if docs:
+        yield close()
 
 
 def learnable(doc_id: Column, parts: int = 4, kept_out: int = 2) -> Column:
@@ -116,7 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, bits: int = BITS, max_docs: int =
     # At most about max_docs narrow rows, whatever the input's size.
     chosen = tables.small_batches(docs).select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).join(F.broadcast(known), F.col("_doc") == F.col("_id"))
     shards = max(1, -(-min(n, max_docs) // SHARD_DOCS))
-    dealt = chosen.repartition(shards, F.col("_order")).sortWithinPartitions("_order").select("_text", "_label")
+    dealt = chosen.withColumn("_shard", F.pmod("_order", F.lit(shards))).repartition(shards, "_shard")
+    dealt = dealt.sortWithinPartitions("_shard", "_order", "_id", "_label").select("_text", "_label", "_shard")
     found = dealt.mapInArrow(lambda batches: _train(batches, bits, epochs), "docs long, weights binary").collect()
     if not found:
         return None
