@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
@@ -48,6 +50,13 @@ def safe_parts(text: str, limit: int = GROUP_CHARS) -> Iterator[str]:
     yield text[start:] if start else text
 
 
+def _id_bytes(encoding) -> bytes:
+    ids = array("I", encoding.ids)
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
+
+
 class PieceCoder:
     """Encodes pieces of text with one tokenizer, remembering frequent ones.
 
@@ -100,15 +109,14 @@ class PieceCoder:
         new, parts = list(set(pieces).difference(known)), []
         needed = set()
         for p in new:
-            q = p.lower() if self.folds and "<" not in p and p.isascii() else p
-            core = q.rstrip(_MARKS)
-            marks = q[len(core) :] if core != q and core.strip().isalpha() else ""
-            core = core if marks else q
+            core = p.lower() if self.folds and "<" not in p and p.isascii() else p
+            marks = ""
+            if core[-1] in _MARKS and (word := core.rstrip(_MARKS)).strip().isalpha():
+                core, marks = word, core[len(word) :]
+                needed.add(marks)
             parts.append((core, marks))
             needed.add(core)
-            if marks:
-                needed.add(marks)
-        needed.difference_update(known)
+        needed = needed.difference(known)
         asked = list(needed)
         known.update(zip(asked, map(value, self.encode(asked)), strict=True))
         for p, (core, marks) in zip(new, parts, strict=True):
@@ -124,7 +132,7 @@ class PieceCoder:
 
     def ids(self, pieces: list[str], bounds: list[int]) -> list[bytes]:
         """The ids of each run of pieces between two bounds, as little-endian unsigned 32-bit numbers."""
-        long = self.learn(self.known_ids, pieces, lambda e: np.array(e.ids, "<u4").tobytes())
+        long = self.learn(self.known_ids, pieces, _id_bytes)
         every = list(map(self.known_ids.__getitem__, pieces))
         for p in long:
             self.known_ids.pop(p, None)
