@@ -95,10 +95,10 @@ def final_behaviour(spark, sf_dir):
 @query()
 def numeric_answers(spark, sf_dir):
     """Numbers found in answers of many forms; patterns with lookbehind have no DuckDB form."""
-    items = read(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+    items = read(spark, sf_dir, "lineitem")
     answer = F.format_string("K = %.2f×10^3, about %.1f%%, or 3/4 of 1,234 (x10⁻²)", F.col("l_quantity"), F.col("l_discount") * 100)
     found = F.exists(scoring.answer_numbers(answer), lambda x: calc.is_close(x, F.col("l_quantity") * 1000, rel=1e-9))
-    return items.select("l_orderkey", F.size(scoring.answer_numbers(answer)).alias("n"), found.alias("correct"))
+    return items.select("l_orderkey", "l_linenumber", F.size(scoring.answer_numbers(answer)).alias("n"), found.alias("correct"))
 
 
 @query("""SELECT doc_id, (contains(lower(text), 'the') OR contains(lower(text), 'der')) AND (contains(lower(text), 'of') OR contains(lower(text), 'und')) AS has_concepts FROM documents""")

@@ -32,7 +32,7 @@ def shomate_rows(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     found = found.select(key, "table_no", rows.alias("_rows")).filter(F.size("_rows") >= 3)
     head = F.get("_rows", 0)
     found = found.filter(F.exists(head, lambda c: F.contains(c, F.lit("Temperature"))))
-    body = F.map_from_entries(F.filter(F.transform(F.slice("_rows", 2, 1000), lambda r: F.struct(F.get(r, 0).alias("k"), r.alias("v"))), lambda e: F.coalesce(e["k"].isin(*LABELS), F.lit(False))))
+    body = F.map_from_entries(F.filter(F.transform(F.slice("_rows", F.lit(2), F.size("_rows") - 1), lambda r: F.struct(F.get(r, 0).alias("k"), r.alias("v"))), lambda e: F.coalesce(e["k"].isin(*LABELS), F.lit(False))))
     found = found.select(key, "table_no", head.alias("_head"), body.alias("_body")).filter(F.size("_body") == len(LABELS))
     each = found.select(key, "table_no", "_body", F.posexplode("_head").alias("range_no", "_range")).filter("range_no > 0")
     bound = lambda i: F.get(F.split(F.replace("_range", F.lit(","), F.lit("")), "to"), i)
