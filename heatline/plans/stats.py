@@ -100,10 +100,11 @@ def label_cells(spark, sf_dir):
 
 @query()
 def cluster_bootstrap(spark, sf_dir):
-    """95 % interval of the overall effect by hashed cluster draws; draws by a hash have no DuckDB form."""
+    """95 % interval of the overall effect from 2000 seeded draws of all clusters with replacement; the generator has no DuckDB form."""
     means = stats.pool_means(_pairs(spark, sf_dir).filter("difference IS NOT NULL"), "task", "run", "pool", "difference", ("cluster",))
     sums = stats.cluster_sums(means, "cluster", "run", "mean_effect")
-    draws = stats.hashed_draws(sums.select("cluster").distinct(), "cluster", 500, 20260727)
+    clusters = sums.filter("cluster IS NOT NULL").select("cluster").distinct().collect()  # 23 at most
+    draws = stats.seeded_draws(spark, [r["cluster"] for r in clusters], 2000, 20260727)
     return stats.interval(stats.bootstrap(sums, draws, "cluster", "run"))
 
 
