@@ -3,8 +3,13 @@ r"""Chat formatting by incremental black-box rendering.
 A template is any function from a list of (role, text) turns to one string.  It
 is asked for every successive prefix of a conversation; where an output continues
 the one before, the new part is the new turn's span.  A template that changes what
-it wrote before is found out (``rewrites``), and the turn's span then begins where
-the two outputs part.  The loss mask covers the assistant texts inside the spans.
+it wrote before is found out (``rewrites``), and all spans are then taken from the
+last output, where each turn's text is found and what follows the text ends the turn.
+The loss mask covers the assistant texts as the template wrote them, trimmed or
+escaped.  A text's place is where the output differs from that of the same turns with
+a mark in place of the text.  Where that gives no single place (the template left the
+text out, wrote it twice or made other parts depend on it), the turn's index is in
+``unlocated`` and its text isn't in the mask.
 
 The own template writes ``### role: text</turn>`` and a line end for each turn
 and puts a backslash before every ``\``, ``#`` and ``<`` of a text (in roles also
@@ -30,8 +35,10 @@ from pyspark.sql import functions as F
 from . import tables
 
 Turns = list[tuple[str, str]]
-SCHEMA = "conv_id long, n_turns long, formatted string, turn_starts array<long>, turn_ends array<long>, loss_starts array<long>, loss_ends array<long>, rewrites boolean"
+SCHEMA = "conv_id long, n_turns long, formatted string, turn_starts array<long>, turn_ends array<long>, loss_starts array<long>, loss_ends array<long>, rewrites boolean, unlocated array<long>"
 END = "</turn>\n"
+#: Texts that templates leave as they are; the second for those that change ASCII letters.
+MARKS = ("zq7xk9vj", "\ue03f\ue1a7\ue2c5\ue0d9")
 _TURN = re.compile(r"### ((?:\\.|[^\\:#<])*): ((?:\\.|[^\\#<])*)</turn>\n", re.S)
 
 
@@ -48,6 +55,58 @@ def marked_turns(turns: Turns) -> str:
     return "".join(f"### {escape(role, r'\\#<:')}: {escape(text)}{END}" for role, text in turns)
 
 
+def text_span(turns: Turns, k: int, template: Callable[[Turns], str], formatted: str) -> tuple[int, int] | None:
+    """Where the text of turn ``k`` stands in ``formatted``, the rendering of ``turns``; None if that can't be told."""
+    for mark in MARKS:
+        while mark in formatted:
+            mark += mark
+        marked = template([*turns[:k], (turns[k][0], mark), *turns[k + 1 :]])
+        start = marked.find(mark)
+        if start < 0 or marked.find(mark, start + 1) >= 0:
+            continue
+        after = marked[start + len(mark) :]
+        end = len(formatted) - len(after)
+        if start <= end and formatted.startswith(marked[:start]) and formatted.endswith(after):
+            return start, end
+    return None
+
+
+def _common(a: str, b: str) -> int:
+    """Length of the longest common prefix."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid - 1)
+    return low
+
+
+def _final_spans(turns: Turns, template: Callable[[Turns], str], formatted: str) -> list[tuple[int, int]]:
+    """Spans in the last rendering of a template that rewrites history.
+
+    A turn ends after its text and as much of what follows as also ends the rendering
+    that stops with this turn.  Where a text can't be located the span is empty.
+    """
+    places = [text_span(turns, k, template, formatted) for k in range(len(turns))]
+    located = [k for k, place in enumerate(places) if place]
+    spans = [(0, 0)] * len(turns)
+    start = _common(template([]), formatted[: places[located[0]][0]]) if located else 0
+    at = 0
+    for k in range(len(turns)):
+        if not places[k]:
+            spans[k] = (start, start)
+            continue
+        at += 1
+        end = places[k][1]
+        if at == len(located):
+            end = len(formatted)
+        else:
+            now = template(turns[: k + 1])
+            own = text_span(turns[: k + 1], k, template, now)
+            end += _common(now[own[1] :], formatted[end : places[located[at]][0]]) if own else 0
+        spans[k], start = (start, end), end
+    return spans
+
+
 def turn_spans(turns: Turns, template: Callable[[Turns], str]) -> tuple[str, list[tuple[int, int]], bool]:
     """The whole rendering, each turn's span in it, and whether the template rewrote history."""
     before, spans, rewrites = template([]), [], False
@@ -56,14 +115,9 @@ def turn_spans(turns: Turns, template: Callable[[Turns], str]) -> tuple[str, lis
         start = len(before)
         if not now.startswith(before):
             rewrites = True
-            a, b = 0, min(len(before), len(now))
-            while a < b:  # the longest common prefix
-                mid = (a + b + 1) // 2
-                a, b = (mid, b) if now[:mid] == before[:mid] else (a, mid - 1)
-            start = a
         spans.append((start, len(now)))
         before = now
-    return before, spans, rewrites
+    return before, _final_spans(turns, template, before) if rewrites else spans, rewrites
 
 
 def parse_turns(formatted: str, spans: list[tuple[int, int]]) -> list[tuple[str, str, int, int]]:
@@ -81,7 +135,7 @@ def _format(batches: Iterator[pa.RecordBatch], template: Callable[[Turns], str],
     """Rows come by conversation and turn; one conversation is held at a time."""
     names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
     number = pa.list_(pa.int64())
-    schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.string(), number, number, number, number, pa.bool_()], strict=True)))
+    schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.string(), number, number, number, number, pa.bool_(), number], strict=True)))
     held: Turns = []
     key: object = held  # no conversation yet
     rows: list[dict] = []
@@ -89,14 +143,16 @@ def _format(batches: Iterator[pa.RecordBatch], template: Callable[[Turns], str],
 
     def close() -> int:
         formatted, spans, rewrites = turn_spans(held, template)
-        loss = []
+        loss, unlocated = [], []
         if template is marked_turns:
             loss = [(a, b) for role, _, a, b in parse_turns(formatted, spans) if role in learn]
         else:
-            for (role, text), (a, b) in zip(held, spans, strict=True):
-                if role in learn and (at := formatted.find(text, a, b)) >= 0:
-                    loss.append((at, at + len(text)))
-        values = (key, len(held), formatted, [a for a, _ in spans], [b for _, b in spans], [a for a, _ in loss], [b for _, b in loss], rewrites)
+            for k, (role, _) in enumerate(held):
+                if role in learn:
+                    place = text_span(held, k, template, formatted)
+                    loss += [place] if place else []
+                    unlocated += [] if place else [k]
+        values = (key, len(held), formatted, [a for a, _ in spans], [b for _, b in spans], [a for a, _ in loss], [b for _, b in loss], rewrites, unlocated)
         rows.append(dict(zip(names, values, strict=True)))
         return len(formatted)
 
@@ -117,7 +173,7 @@ def _format(batches: Iterator[pa.RecordBatch], template: Callable[[Turns], str],
 
 
 def format_conversations(df: DataFrame, *, template: Callable[[Turns], str] = marked_turns, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """One row per conversation: the rendering, every turn's span, the spans under the loss mask, and ``rewrites``."""
+    """One row per conversation: the rendering, every turn's span, the spans under the loss mask, ``rewrites``, and the turns to learn from whose text has no known place."""
     order = ["conv_id", F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text")]
     dealt = tables.small_batches(df).select(F.col("conv_id").cast("long"), "turn", "role", "text").repartition("conv_id").sortWithinPartitions(*order)
     return dealt.select("conv_id", "role", "text").mapInArrow(lambda batches: _format(batches, template, frozenset(learn)), SCHEMA)
