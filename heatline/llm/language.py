@@ -5,13 +5,14 @@ bytes of UTF-8 with word edges, hashed to ``2**BITS`` buckets).  A document is a
 mixture: each word comes from one language with the product of its n-grams'
 probabilities, and expectation-maximisation estimates the languages' proportions.
 Languages are taken into the document's set, largest proportion first, as long as
-the likelihood gains more than ``penalty * ln(1 + words)`` for each; the prediction
-is the set's largest member and the score its proportion.
+the likelihood gains more than ``penalty * ln(1 + words)`` for each (sets of two and
+three are always tried, a larger one where the set before gained); the prediction is
+the set's largest member and the score its proportion.
 
 Counts come from a sample of at most about ``max_docs`` labelled documents of each
 language, chosen by a hash of doc_id.  They are summed before they are gathered, so
-what reaches the driver is ``2**BITS`` counts of each language at most.  Very long
-texts take several words as one unit, so a document has at most ``UNITS`` of them.
+what reaches the driver is ``2**BITS`` counts of each language at most.  A text of over
+``BLOCK`` words is gone through in blocks of words whose sums are added up per step.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is every
 text where there was nothing to learn from.  Ties go to the first language in
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from . import tables, textnum
 
 BITS, SMOOTHING = 16, 0.5
-MAX_DOCS, STEPS, PENALTY, LARGEST_SET, UNITS = 4_000, 12, 3.0, 3, 200_000
+MAX_DOCS, STEPS, PENALTY, TRIED_SET, BLOCK = 4_000, 12, 3.0, 3, 200_000
 _PIECE = 1 << 19
 
 #: Bytes of letters (all of non-ASCII) stay, others become 0, the word edge.
@@ -105,6 +106,46 @@ def _mixture(likely: np.ndarray, rows: np.ndarray, bounds: np.ndarray, start: np
     return share, textnum.segment_sums(np.log((likely * share[rows]).sum(1)), bounds)
 
 
+def _long(buckets: np.ndarray, starts: np.ndarray, table: np.ndarray, penalty: float, steps: int) -> tuple[int, float]:
+    """What ``infer`` gives for one text, in blocks of words."""
+    n, k = len(starts), table.shape[1]
+    logs = np.empty((n, k), np.float32)
+    ends = np.append(starts, len(buckets))
+    blocks = [slice(i, min(i + BLOCK, n)) for i in range(0, n, BLOCK)]
+    for b in blocks:
+        logs[b] = np.add.reduceat(table[buckets[ends[b.start] : ends[b.stop]]], starts[b] - starts[b.start], axis=0)
+
+    def likely(b: slice) -> np.ndarray:
+        return np.exp(np.maximum(logs[b].astype(np.float64) - logs[b].max(1, keepdims=True), -60.0))
+
+    def mixture(share: np.ndarray, floor: float) -> tuple[np.ndarray, float]:
+        for _ in range(steps):
+            total = np.zeros(k)
+            for b in blocks:
+                own = (likely(b) + floor) * share
+                total += (own / own.sum(1, keepdims=True)).sum(0)
+            share = total / n
+        return share, sum(np.log((likely(b) + floor) @ share).sum() for b in blocks)
+
+    base = sum(logs[b].max(1).sum(dtype=np.float64) for b in blocks)
+    alone = sum(np.maximum(logs[b], logs[b].max(1, keepdims=True) - 60.0).sum(0, dtype=np.float64) for b in blocks)
+    best = int(alone.argmax())
+    share, full = mixture(np.full(k, 1 / k), 0.0)
+    part, reached, cost = share[best], alone.max(), penalty * np.log1p(n)
+    if full + base - reached > cost:
+        order = np.argsort(-share, kind="stable")
+        for size in range(2, k + 1):
+            begin = np.zeros(k)
+            begin[order[:size]] = share[order[:size]] + 1e-6
+            got, ll = mixture(begin / begin.sum(), 1e-30)
+            ll += base - cost * (size - 1)
+            if ll > reached:
+                reached, best, part = ll, int(got.argmax()), got.max()
+            elif size >= TRIED_SET:
+                break
+    return best, part
+
+
 def infer(column, table: np.ndarray, *, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """For every text the most likely set's largest language (index, -1 without words) and its proportion."""
     buckets, starts, words = grams(column)
@@ -112,10 +153,18 @@ def infer(column, table: np.ndarray, *, penalty: float = PENALTY, steps: int = S
     best, part = np.full(len(count), -1), np.zeros(len(count))
     if not len(starts) or not k:
         return best, part
-    every = np.maximum(1, -(-count // UNITS))  # words in one unit
-    first = (np.arange(len(starts)) - np.repeat(words[:-1], count)) % np.repeat(every, count) == 0
-    bounds = np.concatenate([[0], np.cumsum(first)])[words]
-    logs = np.add.reduceat(table[buckets], starts[first], axis=0).astype(np.float64)
+    long = np.flatnonzero(count > BLOCK)
+    if len(long):
+        ends = np.append(starts, len(buckets))
+        for i in long:
+            a, b = words[i], words[i + 1]
+            best[i], part[i] = _long(buckets[starts[a] : ends[b]], starts[a:b] - starts[a], table, penalty, steps)
+        short = np.flatnonzero(count <= BLOCK)
+        if len(short):
+            best[short], part[short] = infer(column.take(pa.array(short)), table, penalty=penalty, steps=steps)
+        return best, np.clip(part, 0.0, 1.0)
+    bounds = words
+    logs = np.add.reduceat(table[buckets], starts, axis=0).astype(np.float64)
     rows = textnum.row_ids(bounds)
     top = logs.max(1, keepdims=True)
     likely, base = np.exp(np.maximum(logs - top, -60.0)), textnum.segment_sums(top[:, 0], bounds)
@@ -127,22 +176,25 @@ def infer(column, table: np.ndarray, *, penalty: float = PENALTY, steps: int = S
     cost = penalty * np.log1p(count)
     open_rows = some[full[some] + base[some] - alone.max(1)[some] > cost[some]]
     if len(open_rows):
-        order = np.argsort(-share[open_rows], axis=1, kind="stable")
-        pick = np.isin(rows, open_rows)
-        sub_rows = np.searchsorted(open_rows, rows[pick])
-        sub_bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[open_rows])])
-        reached = alone.max(1)[open_rows]
-        for size in range(2, min(LARGEST_SET, k) + 1):
+        reached = alone.max(1)
+        for size in range(2, k + 1):
+            pick = np.isin(rows, open_rows)
+            sub_rows = np.searchsorted(open_rows, rows[pick])
+            sub_bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[open_rows])])
             mask = np.zeros((len(open_rows), k))
-            np.put_along_axis(mask, order[:, :size], 1.0, 1)
+            np.put_along_axis(mask, np.argsort(-share[open_rows], axis=1, kind="stable")[:, :size], 1.0, 1)
             begin = (share[open_rows] + 1e-6) * mask
             got, ll = _mixture(likely[pick] + 1e-30, sub_rows, sub_bounds, begin / begin.sum(1, keepdims=True), steps)
             ll = ll + base[open_rows] - cost[open_rows] * (size - 1)
-            better = ll > reached
-            reached = np.where(better, ll, reached)
+            better = ll > reached[open_rows]
             at = open_rows[better]
+            reached[at] = ll[better]
             best[at] = got[better].argmax(1)
             part[at] = got[better].max(1)
+            if size >= TRIED_SET:
+                open_rows = at
+            if not len(open_rows):
+                break
     return best, np.clip(part, 0.0, 1.0)
 
 
