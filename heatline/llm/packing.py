@@ -116,8 +116,43 @@ def pack_block(lengths: np.ndarray, capacity: int) -> Iterator[list[tuple[int, i
     yield from fill_windows(remainders, capacity)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], path: str, end: int | None, block_tokens: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Keys, token counts and all ids of successive documents, of ``block_tokens`` ids or a little more; documents without ids are left out."""
+    keys, counts, ids = [], [], []
+    for held in tables.gathered(batches, tokens.GROUP_BYTES):
+        together = pa.Table.from_batches(held).combine_chunks()
+        key, (n, flat) = together.column(0).combine_chunks(), tokens.encode_column(together.column(1), path, True, end)
+        at = 0
+        while at < len(n):
+            room = block_tokens - sum(map(len, ids))
+            upto = np.searchsorted(np.cumsum(n[at:]), room, "left") + 1 + at
+            size = int(n[at:upto].sum())
+            keys.append(key.slice(at, upto - at).filter(pa.array(n[at:upto] > 0)))
+            counts.append(n[at:upto][n[at:upto] > 0])
+            ids.append(flat[:size])
+            flat, at = flat[size:], upto
+            if size >= room:
+                yield pa.concat_arrays(keys), np.concatenate(counts), np.concatenate(ids)
+                keys, counts, ids = [], [], []
+    if keys:
+        yield pa.concat_arrays(keys), np.concatenate(counts), np.concatenate(ids)
+
+
+def _piece_batch(keys: pa.Array, counts: np.ndarray, first: np.ndarray, ids: np.ndarray, sequences: list[int], pieces: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    """The rows of pieces that stand one after the other in whole sequences."""
+    doc, start, length = np.array(pieces, np.int64).T
+    sequence = np.array(sequences, np.int64)
+    ends = np.cumsum(length)
+    new = np.append(True, sequence[1:] != sequence[:-1])
+    offset = ends - length - (ends - length)[np.flatnonzero(new)][np.cumsum(new) - 1]
+    own = ids[tokens.ragged(first[doc] + start, length)].astype("<u4")
+    binary = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(np.append(0, 4 * ends).astype(np.int32)), pa.py_buffer(own)])
+    columns = [keys.take(pa.array(doc)), *map(pa.array, (start, length, counts[doc], sequence, offset)), binary]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split(" ")[0] for c in SCHEMA.split(", ")])
+
+
 def pack(
-    df: DataFrame, path: str, *, text: str = "text", doc_id: str = "doc_id", capacity: int = 4096, end: int | None = 2, spaces: bool = False, block_tokens: int = BLOCK_TOKENS
+    df: DataFrame, path: str, *, text: str = "text", doc_id: str = "doc_id", capacity: int = 4096, end: int | None = 2, block_tokens: int = BLOCK_TOKENS
 ) -> DataFrame:
     """Pieces of all documents of ``df`` in sequences of ``capacity`` ids of the vocabulary at ``path``.
 
@@ -129,43 +164,20 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 40
-        held: list[tuple[int | None, bytes]] = []
-        size = 0
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            nonlocal sequence
-            lengths = np.array([len(ids) // 4 for _, ids in held], np.int64)
-            rows: list[list] = [[] for _ in range(7)]
+        for keys, counts, ids in _blocks(batches, path, end, block_tokens):
+            first = np.cumsum(counts) - counts
+            window: list[int] = []
+            pieces: list[tuple[int, int, int]] = []
             filled = 0
-            for window in pack_block(lengths, capacity):
-                offset = 0
-                for doc, start, length in window:
-                    key, ids = held[doc]
-                    for column, value in zip(rows, (key, start, length, len(ids) // 4, sequence, offset, ids[4 * start : 4 * (start + length)]), strict=True):
-                        column.append(value)
-                    offset += length
-                    filled += 4 * length
+            for own in pack_block(counts, capacity):
+                window += [sequence] * len(own)
+                pieces += own
+                filled += sum(length for _, _, length in own)
                 sequence += 1
-                if filled >= _BATCH_BYTES:
-                    yield batch(rows)
-                    rows, filled = [[] for _ in range(7)], 0
-            if rows[0]:
-                yield batch(rows)
-
-        for b in batches:
-            keys = b.column(0).to_pylist()
-            for key, ids in zip(keys, tokens.encode_texts(b.column(1).to_pylist(), path, spaces, end), strict=True):
-                if ids:
-                    held.append((key, ids))
-                    size += len(ids) // 4
-                if size >= block_tokens:
-                    yield from emit()
-                    held, size = [], 0
-        if held:
-            yield from emit()
-
-    def batch(rows: list[list]) -> pa.RecordBatch:
-        types = [pa.int64()] * 6 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+                if 4 * filled >= _BATCH_BYTES:
+                    yield _piece_batch(keys, counts, first, ids, window, pieces)
+                    window, pieces, filled = [], [], 0
+            if pieces:
+                yield _piece_batch(keys, counts, first, ids, window, pieces)
 
     return tables.small_batches(df).select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, SCHEMA)

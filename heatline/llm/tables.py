@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+Batch = TypeVar("Batch")
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,6 +37,32 @@ def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
     return df
 
 
+def gathered(batches: Iterable[Batch], limit: int) -> Iterator[list[Batch]]:
+    """Arrow batches or columns in lists of about ``limit`` bytes each; a larger one comes alone."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def aside(df: DataFrame, names: Iterable[str]) -> dict[str, str]:
+    """Under which name each column of ``df`` is kept beside results called ``names``: its own, or with ``_in`` behind it."""
+    taken, out = {n.lower() for n in names} | {c.lower() for c in df.columns}, {}
+    given = {n.lower() for n in names}
+    for c in df.columns:
+        out[c] = c
+        if c.lower() in given:
+            while out[c].lower() in taken:
+                out[c] += "_in"
+            taken.add(out[c].lower())
+    return out
+
+
 def fresh(df: DataFrame, prefix: str) -> str:
     """A prefix that no column of ``df`` begins with."""
     while any(c.lower().startswith(prefix) for c in df.columns):

@@ -5,9 +5,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from heatline.llm import packing, queries, tokens
 
@@ -23,32 +24,57 @@ def random_texts(n, seed=1):
     return ["".join(rnd.choice(letters) for _ in range(rnd.randrange(80))) for _ in range(n)]
 
 
-@pytest.mark.parametrize(("path", "spaces"), [(BYTES, True), (WORDS, False)])
-def test_lengths_and_ids_equal_the_library(path, spaces):
-    texts = [t or "" for t in TEXTS] + random_texts(1500)
-    whole = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
-    assert tokens.count_texts(texts, path, spaces).tolist() == [len(e.ids) for e in whole]
-    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode_texts(texts, path, spaces)] == [e.ids for e in whole]
+def encoded(texts, path):
+    """The ids of every text, after a check that lengths alone come out the same."""
+    column = pa.array(texts, pa.string())
+    counts, ids = tokens.encode_column(column, path, True)
+    assert tokens.encode_column(column, path, False)[0].tolist() == counts.tolist()
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
 
 
-def test_small_parts_and_a_small_memory_change_nothing(monkeypatch):
+def library(texts, path):
+    return [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_lengths_and_ids_equal_the_library(path):
+    texts = TEXTS + random_texts(1500)
+    assert encoded(texts, path) == library(texts, path)
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_every_letter_before_every_mark_equals_the_library(path):
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    marks = ".,;:!?%&*#$"
+    texts = ["".join(f" ab{c}{m} {c}{m}x\n{c}{marks[(i + 1) % 11]}" for c in letters[k : k + 20]) for k in range(0, len(letters), 20) for i, m in enumerate(marks[k % 5 :: 5])]
+    latin = [c for c in letters if ord(c) < 0x250]
+    texts += [f"ab{c}{m} {c}{m}x\n{c.upper()}{m} {c}" for c in latin for m in marks]
+    assert encoded(texts, path) == library(texts, path)
+
+
+def test_small_groups_and_a_small_memory_change_nothing(monkeypatch):
     texts = ["some words and  more\nwords " * 50, *random_texts(300, 2)]
-    want = tokens.count_texts(texts, BYTES).tolist()
-    monkeypatch.setattr(tokens, "CACHE_PIECES", 3)
-    monkeypatch.setattr(tokens, "ENCODE_BYTES", 20)
-    monkeypatch.setattr(tokens.groups, "__defaults__", (40,))
-    monkeypatch.setattr(tokens.safe_parts, "__defaults__", (16,))
-    monkeypatch.setattr(tokens, "_coders", {})
-    assert tokens.count_texts(texts, BYTES).tolist() == want
+    for name, value in (("KNOWN_PIECES", 4), ("KNOWN_LENGTH", 5), ("ENCODE_BYTES", 20), ("GROUP_BYTES", 40), ("JOINED", 3), ("_coders", {})):
+        monkeypatch.setattr(tokens, name, value)
+    assert encoded(texts, BYTES) == library(texts, BYTES) and encoded(texts, WORDS) == library(texts, WORDS)
+
+
+def test_a_vocabulary_of_another_kind_gets_whole_texts(tmp_path):
+    other = Tokenizer.from_file(BYTES)
+    other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_previous"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    path = str(tmp_path / "other.json")
+    other.save(path)
+    texts = TEXTS + random_texts(200, 3)
+    assert tokens.coder(path, True).kind is None and encoded(texts, path) == library(texts, path)
 
 
 def test_count_columns(spark):
-    df = spark.createDataFrame([(i, t, 5, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, n long, tokens string")
+    df = spark.createDataFrame([(i, t, 5, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, N_Tokens long, tokens string")
     rows = tokens.with_token_counts(df, BYTES, limit=100).orderBy("doc_id").collect()
     whole = Tokenizer.from_file(BYTES)
     for r, t in zip(rows, TEXTS, strict=True):
         n = len(whole.encode(t or "", add_special_tokens=False).ids)
-        assert (r["n_bytes"], r["n_tokens"], r["over_limit"], r["n"]) == (len((t or "").encode()), n, n > 100, 5)
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"], r["N_Tokens_in"]) == (len((t or "").encode()), n, n > 100, 5)
     assert tokens.with_token_counts(df.limit(0), BYTES).count() == 0
 
 
