@@ -17,18 +17,21 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).collect()[0])
 
 
-def connected(links: DataFrame) -> DataFrame:
-    """(node, component) of every linked node; ``links`` has x and y, a component is named by its smallest node."""
+def connected(links: DataFrame, scratch: tables.Scratch) -> DataFrame:
+    """(node, component) of every linked node; ``links`` has x and y, a component is named by its smallest node.
+
+    Steps are written to ``scratch``; the result reads the last of them.
+    """
     links = links.filter("x <> y")
-    edges = tables.stage(links.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
+    edges = scratch.stage(links.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
     state = _state(edges)
     while state[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = tables.stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "large_star_minima")
-        large = tables.stage(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large_star")
-        least = tables.stage(large.groupBy("a").agg(F.min("b").alias("m")), "small_star_minima")
+        least = scratch.stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "large_star_minima")
+        large = scratch.stage(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large_star")
+        least = scratch.stage(large.groupBy("a").agg(F.min("b").alias("m")), "small_star_minima")
         moved = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = tables.stage(moved.union(least.select("a", F.col("m").alias("b"))).distinct(), "small_star")
+        edges = scratch.stage(moved.union(least.select("a", F.col("m").alias("b"))).distinct(), "small_star")
         before, state = state, _state(edges)
         if before == state:
             break

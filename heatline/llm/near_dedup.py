@@ -20,6 +20,9 @@ between two components is tested or made needless by another between them.
 
 A link at the threshold 0.75 shares no band with probability (1 - 0.75**4)**32, about
 5e-6, and fails the signature test with about 3e-7; longer sets make no difference.
+Sets are taken for equal on their 128-bit keys: two different ones of 10**10 share a key
+with a probability of about 1e-19.  A bucket of n classes, of which o lie outside its main
+component, costs about 2 * n * o / BLOCK rows and n * o signature comparisons.
 
 Null and empty texts, and those of white space only, have no shingles: they are
 linked with nothing and kept.  Rows that repeat a doc_id with its text get the same
@@ -33,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import components, shingles, tables, textnum, tokens
@@ -43,7 +46,7 @@ WIDTH, BANDS, ROWS, SEED = 5, 32, 4, 20_240_229
 PERCENT = 75
 #: Standard deviations below the threshold at which a signature still passes.
 SLACK = 5.0
-BLOCK, SALTS, HUBS = 512, 64, 4
+BLOCK, HUBS = 512, 4
 #: Pairs that a task remembers, so as not to give them out twice.
 SEEN = 1 << 18
 PROFILE = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, signature binary"
@@ -104,8 +107,8 @@ def _similar_signatures(pairs: DataFrame, classes: DataFrame, percent: int) -> D
     return sized.select("x", "y", "sx", "sy").mapInArrow(run, PAIR)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs linked by their full sets.  Each left text is sent once to each of its salts, its partners stream past it."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, scratch: tables.Scratch) -> DataFrame:
+    """Pairs linked by their full sets.  Each left text is sent once for every ``BLOCK`` of its partners, which stream past it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = np.empty(0, np.uint64)
@@ -124,7 +127,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
                             found.append((xs[i + k], docs[i + k]))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["x", "y"])
 
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(SALTS)))
+    partners = scratch.stage(pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("salts")), "partners")
+    salted = pairs.join(partners, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("salts")).alias("salt"))
     asked = salted.select("x", "salt", F.lit(0).alias("role"), F.col("x").alias("doc")).distinct().union(salted.select("x", "salt", F.lit(1).alias("role"), F.col("y").alias("doc")))
     rows = asked.join(texts, "doc").select("x", "salt", "role", "doc", "text")
     return rows.repartition("x", "salt").sortWithinPartitions("x", "salt", "role", "doc").mapInArrow(run, PAIR)
@@ -133,26 +137,23 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
 def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(x, component): documents that may be linked with some member of another, larger component.
 
-    Takes one pair of blocks of a bucket after the other; a bucket's main component
-    is compared with what lies outside it only.
+    Takes one pair of blocks of a bucket after the other: one of documents outside the
+    bucket's main component and one of any members.
     """
     least = _least_matches(percent)
     key, held = None, []
     seen: set[tuple[int, int]] = set()
 
     def compare() -> Iterator[pa.RecordBatch]:
-        if len(held) < 2:
+        outside, doc, size, comp, members = (np.array([r[k] for r in held]) for k in range(5))
+        if not outside.any() or outside.all():
             return
-        low, high = key[1], key[2]
-        block, doc, size, comp, members = (np.array([r[k] for r in held]) for k in range(5))
         sig = np.frombuffer(b"".join(r[5] for r in held), np.uint8).reshape(len(held), -1)
-        names, counts = np.unique(comp, return_counts=True)
+        own = np.flatnonzero(~outside)
         asked: set[tuple[int, int]] = set()
-        for i in np.flatnonzero(comp != names[counts.argmax()]):
-            ok = (comp != comp[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-            if low != high:
-                ok &= block != block[i]
-            at = np.flatnonzero(ok)
+        for i in np.flatnonzero(outside):
+            ok = (comp[own] != comp[i]) & (100 * np.minimum(size[own], size[i]) >= percent * np.maximum(size[own], size[i]))
+            at = own[ok]
             at = at[(sig[at] == sig[i]).sum(1) >= least]
             larger = (members[at] > members[i]) | ((members[at] == members[i]) & (comp[at] < comp[i]))
             asked.update((int(doc[i]), int(c)) for c in np.unique(comp[at[larger]]))
@@ -168,34 +169,47 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         columns = [c.to_pylist() for c in b.columns]
         for bucket, low, high, *row in zip(*columns, strict=True):
             if (bucket, low, high) != key:
-                yield from compare()
+                if held:
+                    yield from compare()
                 key, held = (bucket, low, high), []
             held.append(row)
-    yield from compare()
+    if held:
+        yield from compare()
 
 
-def _across_components(members: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Distinct (x, component) still to be compared; ``labels`` has node, component and members."""
+def _across_components(members: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, scratch: tables.Scratch) -> DataFrame:
+    """Distinct (x, component) still to be compared; ``labels`` has node, component and members.
+
+    In a bucket with several components, every document outside the bucket's main one
+    (the largest component that any of its members is in) meets every member.
+    """
     named = members.join(labels, members["doc_id"] == labels["node"], "left").select(
         "bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("members", F.lit(1).cast("long")).alias("members")
     )
-    named = tables.stage(named, "members_named")
-    open_buckets = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    open_buckets = tables.stage(open_buckets, "open_buckets")
-    rows = named.join(open_buckets, "bucket", "left_semi").join(classes.select("doc_id", "n_shingles", "signature"), "doc_id")
+    named = scratch.stage(named, "members_named")
+    found = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by("component", F.struct("members", "component")).alias("main"))
+    open_buckets = scratch.stage(found.filter("lo <> hi").select("bucket", "main"), "open_buckets")
+    rows = scratch.stage(named.join(open_buckets, "bucket").withColumn("out", F.col("component") != F.col("main")), "members_open")
+    outside = scratch.stage(rows.filter("out").groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("outside")), "outside_sizes")
+    rows = rows.join(outside, "bucket").join(classes.select("doc_id", "n_shingles", "signature"), "doc_id")
     blocks = F.ceil(F.col("n") / BLOCK)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    dealt = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    columns = ("bucket", "low", "high", "block", "doc_id", "n_shingles", "component", "members", "signature")
-    return dealt.select(*columns).mapInArrow(lambda b: _across(b, percent), "x long, component long").distinct()
-
-
-def _members_linked(asked: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    # An outside block is low, a block of any members high; an outside document comes as both.
+    all_low, all_high = F.sequence(F.lit(0).cast("long"), F.col("outside") - 1), F.sequence(F.lit(0).cast("long"), blocks - 1)
+    own_low, own_high = F.pmod(F.xxhash64("doc_id"), F.col("outside")), F.pmod(F.xxhash64("doc_id"), blocks)
+    as_member = F.transform(all_low, lambda k: F.struct(k.alias("low"), own_high.alias("high"), F.lit(False).alias("outside")))
+    as_outside = F.transform(all_high, lambda k: F.struct(own_low.alias("low"), k.alias("high"), F.lit(True).alias("outside")))
+    sent = rows.withColumn("to", F.explode(F.when(F.col("out"), F.concat(as_member, as_outside)).otherwise(as_member)))
+    dealt = sent.select("bucket", "to.low", "to.high", "to.outside", "doc_id", "n_shingles", "component", "members", "signature")
+    dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    return dealt.mapInArrow(lambda b: _across(b, percent), "x long, component long").distinct()
+
+
+def _members_linked(asked: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, scratch: tables.Scratch) -> DataFrame:
     """For each (x, component) a link of x, confirmed on the full sets, with one member in each block of the component that has any.
 
-    A component's members are sent once, in blocks; each x is sent to every block and
-    compared with the members whose signatures allow a link, until one is confirmed.
+    A component's members are sent in blocks, once for every ``BLOCK`` of documents that
+    ask for it; each x is sent to every block and compared with the members whose
+    signatures allow a link, until one is confirmed.
     """
     least = _least_matches(percent)
 
@@ -203,13 +217,13 @@ def _members_linked(asked: DataFrame, labels: DataFrame, classes: DataFrame, tex
         key, inside = None, []
         for b in batches:
             found: list[tuple[int, int]] = []
-            comps, blocks, roles, docs, sigs = (b.column(k).to_pylist() for k in range(5))
-            for i, part in textnum.byte_slices(b.column(5)):
+            comps, blocks, salts, roles, docs, sigs = (b.column(k).to_pylist() for k in range(6))
+            for i, part in textnum.byte_slices(b.column(6)):
                 sets, bounds = shingles.shingle_sets(part, width)
                 for k in range(len(part)):
                     own, sig = sets[bounds[k] : bounds[k + 1]], np.frombuffer(sigs[i + k], np.uint8)
-                    if (comps[i + k], blocks[i + k]) != key:
-                        key, inside, stacked = (comps[i + k], blocks[i + k]), [], None
+                    if (comps[i + k], blocks[i + k], salts[i + k]) != key:
+                        key, inside, stacked = (comps[i + k], blocks[i + k], salts[i + k]), [], None
                     if roles[i + k] == 0:
                         inside.append((docs[i + k], own.copy(), sig))
                         continue
@@ -230,52 +244,58 @@ def _members_linked(asked: DataFrame, labels: DataFrame, classes: DataFrame, tex
                             break
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["x", "y"])
 
-    wanted = tables.stage(asked.select("component").distinct(), "components_asked")
+    wanted = scratch.stage(asked.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("askers")), "components_asked")
     # A component of one document isn't among the labels; it is its own only member.
     own = wanted.join(labels.select("component", "node", "members"), "component", "left")
-    own = own.select("component", F.coalesce("node", "component").alias("doc"), F.ceil(F.coalesce("members", F.lit(1)) / BLOCK).alias("blocks"))
-    own = tables.stage(own, "members_asked")
-    sizes = tables.stage(own.groupBy("component").agg(F.max("blocks").alias("blocks")), "blocks_asked")
-    inside = own.select("component", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"), F.lit(0).alias("role"), "doc")
-    outside = asked.join(sizes, "component").select("component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), F.col("x").alias("doc"))
+    own = own.select("component", "askers", F.coalesce("node", "component").alias("doc"), F.ceil(F.coalesce("members", F.lit(1)) / BLOCK).alias("blocks"))
+    own = scratch.stage(own, "members_asked")
+    sizes = scratch.stage(own.groupBy("component").agg(F.max("blocks").alias("blocks"), F.max("askers").alias("askers")), "blocks_asked")
+
+    def every(upto: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(upto) - 1))
+
+    inside = own.select("component", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"), every("askers").alias("salt"), F.lit(0).alias("role"), "doc")
+    outside = asked.join(sizes, "component").select("component", every("blocks").alias("block"), F.pmod(F.xxhash64("x"), F.col("askers")).alias("salt"), F.lit(1).alias("role"), F.col("x").alias("doc"))
     rows = inside.union(outside).join(texts, "doc").join(classes.select(F.col("doc_id").alias("doc"), "signature"), "doc")
-    dealt = rows.repartition("component", "block").sortWithinPartitions("component", "block", "role", "doc")
-    return dealt.select("component", "block", "role", "doc", "signature", "text").mapInArrow(run, PAIR)
+    dealt = rows.repartition("component", "block", "salt").sortWithinPartitions("component", "block", "salt", "role", "doc")
+    return dealt.select("component", "block", "salt", "role", "doc", "signature", "text").mapInArrow(run, PAIR)
 
 
 def near_groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
     docs = tables.small_batches(df).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    profiles = tables.stage(docs.mapInArrow(lambda b: _profiles(b, width), PROFILE), "profiles")
+    scratch = tables.Scratch(df.sparkSession, "near_groups")
+    profiles = scratch.stage(docs.mapInArrow(lambda b: _profiles(b, width), PROFILE), "profiles")
     classes = profiles.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hi", "set_lo")
     classes = classes.agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "signature")])
-    classes = tables.stage(classes, "classes")
+    classes = scratch.stage(classes, "classes")
 
     banded = classes.select("doc_id", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = tables.stage(buckets, "buckets")
-    members = tables.stage(banded.join(buckets, "bucket"), "members")
-    candidates = tables.stage(members.select(F.col("doc_id").alias("doc")).distinct(), "candidates")
-    texts = tables.stage(docs.withColumnRenamed("doc_id", "doc").join(candidates, "doc", "left_semi").dropDuplicates(["doc"]), "candidate_texts")
+    buckets = scratch.stage(buckets, "buckets")
+    members = scratch.stage(banded.join(buckets, "bucket"), "members")
+    candidates = scratch.stage(members.select(F.col("doc_id").alias("doc")).distinct(), "candidates")
+    texts = scratch.stage(docs.withColumnRenamed("doc_id", "doc").join(candidates, "doc", "left_semi").dropDuplicates(["doc"]), "candidate_texts")
 
     hubs = members.groupBy("bucket").agg(*[F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k))).alias(f"hub_{k}") for k in range(HUBS)])
-    hubs = tables.stage(hubs.select("bucket", F.array_distinct(F.array(*[f"hub_{k}" for k in range(HUBS)])).alias("hubs")), "hubs")
+    hubs = scratch.stage(hubs.select("bucket", F.array_distinct(F.array(*[f"hub_{k}" for k in range(HUBS)])).alias("hubs")), "hubs")
     # A document is in BANDS buckets at most, so what is gathered for it is bounded.
     held = members.select("bucket", "doc_id").join(hubs, "bucket").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs"))
     star = held.select("doc_id", F.explode("hubs").alias("hub")).filter("doc_id <> hub").select(F.least("hub", "doc_id").alias("x"), F.greatest("hub", "doc_id").alias("y")).distinct()
-    pairs = tables.stage(_similar_signatures(star, classes, percent), "pairs")
-    links = tables.stage(_confirmed(pairs, texts, width, percent), "links")
-    labels = tables.stage(components.connected(links), "labels")
-    sizes = tables.stage(labels.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component_sizes")
-    sized = tables.stage(labels.join(sizes, "component").select("node", "component", "members"), "labels_sized")
-    asked = tables.stage(_across_components(members, classes, sized, percent), "asked")
+    pairs = scratch.stage(_similar_signatures(star, classes, percent), "pairs")
+    links = scratch.stage(_confirmed(pairs, texts, width, percent, scratch), "links")
+    labels = scratch.stage(components.connected(links, scratch), "labels")
+    sizes = scratch.stage(labels.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component_sizes")
+    sized = scratch.stage(labels.join(sizes, "component").select("node", "component", "members"), "labels_sized")
+    asked = scratch.stage(_across_components(members, classes, sized, percent, scratch), "asked")
     if not asked.isEmpty():
-        found = tables.stage(_members_linked(asked, sized, classes, texts, width, percent), "links_across")
+        found = scratch.stage(_members_linked(asked, sized, classes, texts, width, percent, scratch), "links_across")
         if not found.isEmpty():
-            labels = tables.stage(components.connected(links.union(found)), "labels")
+            labels = scratch.stage(components.connected(links.union(found), scratch), "labels")
 
     named = classes.join(labels, classes["doc_id"] == labels["node"], "left").select("set_hi", "set_lo", "copies", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    named = tables.stage(named.filter("copies > 1 OR component <> doc_id").select("set_hi", "set_lo", "component"), "components")
+    named = scratch.stage(named.filter("copies > 1 OR component <> doc_id").select("set_hi", "set_lo", "component"), "components")
+    scratch.drop("profiles", "components")
     out = profiles.select("doc_id", "n_shingles", "set_hi", "set_lo").join(named, ["set_hi", "set_lo"], "left")
     component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

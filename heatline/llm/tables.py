@@ -8,8 +8,10 @@ from collections.abc import Iterable, Iterator
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Batch = TypeVar("Batch")
+_own_dirs: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +19,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one where none is set and all runs on this machine, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="heatline-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = spark.sparkContext.applicationId
+        base = _own_dirs[own] = _own_dirs.get(own) or tempfile.mkdtemp(prefix="heatline-")
     return base.rstrip("/")
 
 
@@ -29,6 +34,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/heatline-{uuid.uuid4().hex}/{name}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Scratch:
+    """Tables that one call of an operator writes in a folder of its own."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self.written = spark, shared_path(spark, name), []
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` as Parquet and read it back: cuts the lineage and survives lost executors."""
+        self.written.append(name)
+        path = f"{self.path}/{len(self.written)}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *kept: str) -> None:
+        """Deletes all tables but those that the result still reads."""
+        for k, name in enumerate(self.written, 1):
+            if name not in kept:
+                remove(self.spark, f"{self.path}/{k}-{name}")
+
+
 def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
     """``df``, after limiting the rows of Arrow batches in its session: texts are long, and memory goes by the batch."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -63,6 +94,17 @@ def aside(df: DataFrame, names: Iterable[str]) -> dict[str, str]:
     return out
 
 
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns under their names of ``aside``, and those names."""
+    kept = aside(df, names)
+    return df.select(*[df[f"`{c}`"].alias(a) for c, a in kept.items()]), kept
+
+
+def given(found: DataFrame, df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """The columns of ``df`` out of ``found``, which an operator with results called ``names`` has made of it."""
+    return found.select(*[F.col(f"`{a}`").alias(c) for c, a in aside(df, names).items()])
+
+
 def fresh(df: DataFrame, prefix: str) -> str:
     """A prefix that no column of ``df`` begins with."""
     while any(c.lower().startswith(prefix) for c in df.columns):

@@ -2,7 +2,7 @@
 
 import random
 
-from heatline.llm import components, near_dedup
+from heatline.llm import components, near_dedup, tables
 
 SPACE = " \t\n\x0b\x0c\r"
 SCHEMA = "doc_id long, text string, lang string, bucket int, component string"
@@ -75,6 +75,29 @@ def test_empty_table(spark):
 
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
-    got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(links, "x long, y long")).collect()}
+    got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(links, "x long, y long"), tables.Scratch(spark, "test")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
-    assert components.connected(spark.createDataFrame([], "x long, y long")).count() == 0
+    assert components.connected(spark.createDataFrame([], "x long, y long"), tables.Scratch(spark, "test")).count() == 0
+
+
+def test_wide_buckets_lose_no_link(spark, monkeypatch):
+    """One bucket of many components, in blocks of a few documents, and a component with many that ask for it."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "HUBS", 1)
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(240):
+        own = list(words)
+        for k in range(rnd.choice([0, 1, 1, 2, 2, 3])):
+            own[rnd.randrange(60)] = f"x{i}_{k}"
+        texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_force(rows)
+
+
+def test_staged_tables_are_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "shared_dir", lambda spark: str(tmp_path))
+    near_dedup.near_groups(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")], "doc_id long, text string")).collect()
+    assert sorted(p.name.split("-", 1)[1] for p in tmp_path.glob("*/near_groups/*")) == ["components", "profiles"]
