@@ -5,8 +5,8 @@ characters that one of three follows, about once in a hundred words, and past a
 least length), so shared passages give shared chunks wherever they stand.  Each chunk is fingerprinted inside its row,
 and a document becomes the ordered list of its chunks' fingerprints: its recipe.
 Chunk texts move once, deduplicated before the shuffle, to verify that no two
-different chunks share a fingerprint.  Fingerprints that fail get identifiers of
-their own by a join on the chunk's text.  Verified recipes are then equal exactly
+different chunks share a fingerprint.  Texts that hold a shared one are cut again
+and listed by their chunks' SHA-256, so two forms of list never mix.  Verified recipes are then equal exactly
 if the texts are, so grouping compares short lists and long documents stay put.
 
 Null counts as empty; all empty texts are one group.  Rows that share a doc_id
@@ -41,38 +41,34 @@ def chunks(text: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Colum
     return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{most - 1}}}?{BOUNDARY}|.{{1,{most}}}"), F.lit(0))
 
 
-def recipes(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", fingerprint: Callable[[Column], Column] = F.xxhash64, name: str = "recipes") -> DataFrame:
-    """doc_id, recipe (array of verified chunk identifiers) and text_sha256 of every row."""
-    source = df.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("norm"))
-    plain = tables.stage(
-        source.select("doc_id", F.transform(chunks(F.col("norm")), lambda c: fingerprint(c)).alias("recipe"), F.sha2("norm", 256).alias("text_sha256")),
-        name,
-    )
+def recipes(
+    df: DataFrame, scratch: tables.Scratch, *, doc_id: str = "doc_id", text: str = "text", fingerprint: Callable[[Column], Column] = F.xxhash64
+) -> DataFrame:
+    """doc_id, text_sha256 and, of every row, recipe (its chunks' fingerprints) or told_apart (longer identifiers, where a fingerprint is shared)."""
+    source = df.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("norm")).withColumn("text_sha256", F.sha2("norm", 256))
+    plain = scratch.stage(source.select("doc_id", "text_sha256", F.transform(chunks(F.col("norm")), lambda c: fingerprint(c)).alias("recipe")), "recipes")
     apart = source.select(F.explode(chunks(F.col("norm"))).alias("chunk")).select(fingerprint(F.col("chunk")).alias("fp"), "chunk").distinct()
-    clashing = apart.groupBy("fp").count().filter("count > 1").select("fp")
-    clashing = tables.stage(clashing, name + "_clashes")
-    if clashing.isEmpty():
-        return plain
-    # Identifiers for the chunks under a shared fingerprint: the fingerprint and the text itself, hashed apart.
-    renamed = tables.stage(
-        apart.join(clashing, "fp", "left_semi").select("fp", "chunk", F.sha2("chunk", 256).alias("long_id")), name + "_renamed"
-    )
-    placed = source.select("doc_id", F.monotonically_increasing_id().alias("row"), "norm")
-    placed = tables.stage(placed, name + "_rows")
-    exploded = placed.select("doc_id", "row", F.posexplode(chunks(F.col("norm"))).alias("pos", "chunk")).withColumn("fp", fingerprint(F.col("chunk")))
-    named = exploded.join(renamed, ["fp", "chunk"], "left").select("doc_id", "row", "pos", F.coalesce("long_id", F.col("fp").cast("string")).alias("id"))
-    lists = named.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("recipe"))
-    whole = placed.select("doc_id", "row", F.sha2("norm", 256).alias("text_sha256")).join(lists, "row", "left")
-    return tables.stage(whole.select("doc_id", F.coalesce("recipe", F.array().cast("array<string>")).alias("recipe"), "text_sha256"), name + "_verified")
+    shared = scratch.stage(apart.groupBy("fp").count().filter("count > 1").select("fp"), "shared_fingerprints")
+    if shared.isEmpty():
+        return plain.withColumn("told_apart", F.lit(None).cast("array<string>"))
+    # Only texts that hold such a chunk are cut again; a text equal to one of them is among them.
+    held = plain.select("text_sha256", F.explode("recipe").alias("fp")).join(shared, "fp", "left_semi")
+    texts = scratch.stage(held.select("text_sha256").distinct(), "texts_cut_again")
+    again = source.join(texts, "text_sha256", "left_semi").select("doc_id", "text_sha256", F.lit(None).cast("array<bigint>").alias("recipe"), F.transform(chunks(F.col("norm")), lambda c: F.sha2(c, 256)).alias("told_apart"))
+    rest = plain.join(texts, "text_sha256", "left_anti").withColumn("told_apart", F.lit(None).cast("array<string>"))
+    return scratch.stage(rest.unionByName(again), "verified")
 
 
 def find_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", fingerprint: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    own = recipes(df, doc_id=doc_id, text=text, fingerprint=fingerprint).withColumn("h", F.xxhash64("recipe"))
-    groups = own.groupBy("h", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    scratch = tables.Scratch(df.sparkSession, "exact_dedup")
+    own = recipes(df, scratch, doc_id=doc_id, text=text, fingerprint=fingerprint).withColumn("h", F.xxhash64("recipe", "told_apart"))
+    groups = own.groupBy("h", "recipe", "told_apart").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
     # Written out, so that both sides of the join are dealt afresh and a group of very many copies can be split.
-    groups = tables.stage(groups, "copy_groups")
-    return own.join(groups, ["h", "recipe"], "left").select(
+    groups = scratch.stage(groups.withColumnsRenamed({c: f"g_{c}" for c in ("h", "recipe", "told_apart")}), "copy_groups")
+    scratch.drop("verified" if "verified" in scratch.written else "recipes", "copy_groups")
+    same = (own["h"] == groups["g_h"]) & own["recipe"].eqNullSafe(groups["g_recipe"]) & own["told_apart"].eqNullSafe(groups["g_told_apart"])
+    return own.join(groups, same, "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
