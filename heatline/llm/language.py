@@ -16,7 +16,10 @@ what reaches the driver is ``2**BITS`` counts of each language at most.  A text
 
 Null texts and texts without a letter are ``und`` with score 0, and so is every
 text where there was nothing to learn from.  Ties go to the first language in
-alphabetical order.  Null labels are not learned from.
+alphabetical order.  Null labels are not learned from; of more than ``max_langs``
+different labels those with the most rows are learned, ties in alphabetical order.
+Repeated rows are predicted each for itself.  Other columns pass through; one that is
+named as a result keeps its values under that name with ``_in`` behind it.
 """
 
 from __future__ import annotations
@@ -33,7 +36,10 @@ from . import tables, textnum
 
 BITS, SMOOTHING = 16, 0.5
 MAX_DOCS, STEPS, PENALTY, TRIED_SET, BLOCK = 4_000, 12, 3.0, 3, 200_000
+MAX_LANGS = 200
 _PIECE = 1 << 19
+#: Columns of ``with_language``.
+RESULTS = ("lang_pred", "lang_score")
 
 #: Bytes of letters (all of non-ASCII) stay, others become 0, the word edge.
 _LETTERS = np.zeros(256, np.uint8)
@@ -84,10 +90,10 @@ def log_table(found: pa.Table) -> tuple[list[str], np.ndarray]:
     return langs, np.log(table / table.sum(0)).astype(np.float32)
 
 
-def fit(docs: DataFrame, *, max_docs: int = MAX_DOCS) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, *, max_docs: int = MAX_DOCS, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray]:
     """Languages in order and their log probabilities (buckets x languages), from (doc_id, text, lang)."""
     known = tables.small_batches(docs).filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     if not sizes:
         return [], np.zeros((1 << BITS, 0))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1_000_000, int(1_000_000 * max_docs / n) + 1))])
@@ -201,6 +207,8 @@ def infer(column, table: np.ndarray, *, penalty: float = PENALTY, steps: int = S
 def with_language(df: DataFrame, training: DataFrame, *, text: str = "text", max_docs: int = MAX_DOCS, penalty: float = PENALTY) -> DataFrame:
     """``df`` with lang_pred and lang_score; ``training`` has doc_id, text and lang."""
     langs, table = fit(training, max_docs=max_docs)
+    df, names = tables.set_aside(df, RESULTS)
+    text = f"`{names[text]}`"
     shared = df.sparkSession.sparkContext.broadcast((langs, table))
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 

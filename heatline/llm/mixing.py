@@ -17,7 +17,8 @@ over the run, ``mix_block`` numbers blocks of about ``block_tokens`` tokens.
 Tokens are runs of non-space characters unless a column says otherwise.  Null text
 has none, a null source is the source with the empty name.  Sources without tokens
 weigh nothing, and their documents come once.  Rows that share a doc_id are taken
-or left together.  An empty table gives no rows.
+or left together.  An empty table gives no rows.  Other columns pass through; one that
+is named as a result keeps its values under that name with ``_in`` behind it.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from . import tables
 
 ENTROPY, MAX_REPEATS, BLOCK_TOKENS, SEED = 0.95, 4.0, 1_000_000, 17
 POINTS, PASSES, FAN = 32, 6, 1024
+#: Columns that ``mix`` adds.
+RESULTS = ("mix_epoch", "mix_order", "mix_block")
 
 
 def words(text: Column) -> Column:
@@ -151,6 +154,8 @@ def mix(
     n_tokens = words(F.col("text")) if tokens is None else tokens
     sized = tables.stage(df.select(F.col(doc_id).alias("doc_id"), own_source.alias("source"), n_tokens.alias("n_tokens")), "sized")
     table, drawn = weights(sized, budget=budget, cover=cover, entropy=entropy, max_repeats=max_repeats)
+    df, names = tables.set_aside(df, RESULTS)
+    doc_id, own_source = f"`{names[doc_id]}`", F.coalesce(F.col(f"`{names[source]}`"), F.lit(""))
     own = tables.fresh(df, "mix_")
     edges = _edges(sized, table, seed).select(*[F.col(c).alias(own + c) for c in ("source", "full", "epochs", "tokens", "last")])
     rows = df.join(edges, own_source == F.col(own + "source"))

@@ -11,7 +11,8 @@ leaves slack, one remaining document is cut to close it.  What is left in the
 end, less than one window, is cut at powers of two, so no sequence is padded.
 
 Null and empty texts are documents of the end token alone.  Repeated rows are
-packed each for itself.  An empty table gives no pieces.
+packed each for itself.  A text of more than one block is a block of its own.  An
+empty table gives no pieces.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -179,5 +180,7 @@ def pack(
                     window, pieces, filled = [], [], 0
             if pieces:
                 yield _piece_batch(keys, counts, first, ids, window, pieces)
+        # Other operators' tasks may follow in this worker.
+        pa.default_memory_pool().release_unused()
 
     return tables.small_batches(df).select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, SCHEMA)

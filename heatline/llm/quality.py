@@ -13,7 +13,9 @@ each shard, so what reaches the driver is bounded by the parameters).
 
 Null and empty texts have no n-grams and get the bias alone.  Null labels are not
 learned from; a document labelled twice is learned twice.  Without any labelled
-document nothing is known against a text and every score is 1.
+document nothing is known against a text and every score is 1.  Very long texts are
+scored whole.  Other columns pass through; one that is named as a result keeps its
+values under that name with ``_in`` behind it.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ BITS, SCALE = 18, 16.0
 ALPHA, BETA, L1, L2 = 0.5, 0.1, 1e-4, 1e-4
 MAX_DOCS, SHARD_DOCS, EPOCHS, BATCH = 16_000, 2_000, 3, 8
 THRESHOLD = 0.7
+#: Columns of ``with_quality``.
+RESULTS = ("quality_score", "quality_predicted")
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 _SAME = np.uint64(0x5851F42D4C957F2D)
 
@@ -162,5 +166,6 @@ def quality_score(text: Column, weights: np.ndarray | None, spark) -> Column:
 def with_quality(df: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, max_docs: int = MAX_DOCS) -> DataFrame:
     """``df`` with quality_score and quality_predicted, learned from the labels that may be learned from."""
     weights = fit(df, labels.filter(learnable(F.col("doc_id"))), max_docs=max_docs)
-    scored = df.withColumn("quality_score", quality_score(F.col("text"), weights, df.sparkSession))
+    df, names = tables.set_aside(df, RESULTS)
+    scored = df.withColumn("quality_score", quality_score(F.col(f"`{names['text']}`"), weights, df.sparkSession))
     return scored.withColumn("quality_predicted", (F.col("quality_score") >= threshold).cast("int"))

@@ -36,6 +36,9 @@ KNOWN_PIECES, KNOWN_BYTES, KNOWN_LENGTH = 600_000, 12 << 20, 64
 #: Words that are joined for one encoding.
 JOINED = 128
 
+#: Columns of ``with_token_counts``.
+RESULTS = ("n_bytes", "n_tokens", "over_limit")
+
 #: How the two supported vocabularies state that they cut texts.
 _LOWER_CASE = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -299,10 +302,10 @@ def token_count(text: Column | str, path: str) -> Column:
 
 def with_token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 1024) -> DataFrame:
     """``df`` with n_bytes (UTF-8), n_tokens and over_limit (more than ``limit`` tokens)."""
-    names = tables.aside(df, ("n_bytes", "n_tokens", "over_limit"))
-    kept, text = tables.small_batches(df).select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()]), f"`{names[text]}`"
+    df, names = tables.set_aside(tables.small_batches(df), RESULTS)
+    text = f"`{names[text]}`"
     return (
-        kept.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
+        df.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
         .withColumn("n_tokens", token_count(F.col(text), path))
         .withColumn("over_limit", F.col("n_tokens") > limit)
     )

@@ -1,10 +1,13 @@
 """Quality and language models: held-out accuracy, edge cases, and the mixture against plain EM."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from heatline.llm import language, quality, queries
 
@@ -106,3 +109,51 @@ def test_language_edge_cases(spark):
     assert [r["lang_pred"] for r in rows[:5]] == ["und", "und", "und", "en", "en"] and rows[5]["lang_pred"] in ("de", "en", "fr")
     assert {r["lang_pred"] for r in language.with_language(docs.select("doc_id", "text"), train.limit(0)).collect()} == {"und"}
     assert language.with_language(docs.limit(0), train).count() == 0
+
+
+def test_quality_scores_equal_plain_ftrl(spark):
+    """Every score of a small table against FTRL written out term by term."""
+    rnd = random.Random(12)
+    texts = [" ".join(rnd.choice(["ore", "slag", "melt", "flux"] if i % 2 else ["win", "cash", "melt", "now"]) for _ in range(rnd.randrange(1, 9))) for i in range(60)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["quality_score"] for r in quality.with_quality(docs, labels).collect()}
+
+    def shares(text):
+        found, _ = quality.gram_buckets(pa.array([text or ""]))
+        return {b: n * quality.SCALE / max(1, len(found)) for b, n in Counter(found.tolist()).items()} | {"bias": 1.0}
+
+    z, n = Counter(), Counter()
+
+    def weight(f):
+        if abs(z[f]) <= quality.L1:
+            return 0.0
+        return -(z[f] - math.copysign(quality.L1, z[f])) / ((quality.BETA + math.sqrt(n[f])) / quality.ALPHA + quality.L2)
+
+    order = labels.filter(quality.learnable(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).collect()
+    for _ in range(quality.EPOCHS):
+        for i in range(0, len(order), quality.BATCH):
+            some = [(shares(texts[r["doc_id"]]), r["quality"]) for r in order[i : i + quality.BATCH]]
+            old, gradient = {f: weight(f) for x, _ in some for f in x}, Counter()
+            for x, label in some:
+                p = 1 / (1 + math.exp(-sum(v * old[f] for f, v in x.items())))
+                for f, v in x.items():
+                    gradient[f] += (p - label) * v
+            for f, g in gradient.items():
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / quality.ALPHA * old[f]
+                n[f] += g * g
+    for d, text in enumerate(texts):
+        assert math.isclose(got[d], 1 / (1 + math.exp(-sum(v * weight(f) for f, v in shares(text).items()))), abs_tol=1e-4)
+
+
+def test_columns_named_as_results_keep_their_values(spark):
+    docs = spark.createDataFrame([(1, "ore slag", "en", 5, "x"), (2, None, None, 6, "y")], "doc_id long, text string, lang string, Quality_Score int, lang_pred string")
+    scored = quality.with_quality(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert {(r["doc_id"], r["Quality_Score_in"]) for r in scored.collect()} == {(1, 5), (2, 6)}
+    named = language.with_language(docs, docs)
+    assert {(r["doc_id"], r["lang_pred_in"], r["lang_pred"]) for r in named.collect()} == {(1, "x", "en"), (2, "y", "und")}
+
+
+def test_of_too_many_labels_the_most_frequent_are_learned(spark):
+    docs = spark.createDataFrame([(i, "abc def", f"l{i % 7 % 5}") for i in range(35)], "doc_id long, text string, lang string")
+    assert language.fit(docs, max_langs=2)[0] == ["l0", "l1"]

@@ -12,7 +12,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from heatline.llm import quality, tables
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: The last two are named as results of stages.
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, quality_predicted int, mix_epoch string"
 
 
 def documents():
@@ -21,7 +22,7 @@ def documents():
     junk = ["click", "buy", "free", "win", "cash", "spam", "deal", "now"]
     texts = [" ".join(rnd.choice(junk if i % 3 == 0 else good) for _ in range(60)) for i in range(150)]
     texts += [texts[1], texts[1].upper(), texts[4], texts[7] + " steel", texts[8] + " heat", None, "", texts[0]]
-    return [(i, t, None if i % 5 == 0 else "en", "small" if i % 10 == 1 else "large", len(t or "")) for i, t in enumerate(texts)]
+    return [(i, t, None if i % 5 == 0 else "en", "small" if i % 10 == 1 else "large", len(t or ""), 7, None) for i, t in enumerate(texts)]
 
 
 def run(spark, folder, rows, labels, monkeypatch):
@@ -33,7 +34,7 @@ def run(spark, folder, rows, labels, monkeypatch):
         left[name] = tables.stage(df, name)
         return left[name]
 
-    monkeypatch.setattr(corpus_pipeline, "tables", SimpleNamespace(read=tables.read, stage=stage))
+    monkeypatch.setattr(corpus_pipeline, "tables", SimpleNamespace(read=tables.read, stage=stage, given=tables.given))
     out = corpus_pipeline.run(spark, str(folder)).collect()
     assert list(left) == [name for name, _ in corpus_pipeline.STAGES]
     return out, {name: [tuple(r) for r in df.collect()] for name, df in left.items() if name != "packing"}
