@@ -12,7 +12,11 @@ shared folder and reads it again for the next, so a lost executor costs one stag
   the mixture's entropy or the limit of two epochs is reached.
 * packing: sequences of 4096 ids.
 
-No stage needs ``labels`` but the first; an empty table stays empty throughout.
+No stage needs ``labels`` but the first; an empty table stays empty throughout.  Ties
+and repeated rows are taken as the operators say: rows that share a doc_id stay or go
+together, except that a text that stands twice under the largest doc_id stays twice.
+Very long texts go whole through every stage.  Further columns pass through all stages
+but packing, which doesn't read them, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,19 +32,19 @@ ORACLE_SQL = None
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = quality.with_quality(docs, tables.read(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return scored.filter("quality_predicted = 1").select(*docs.columns)
+    return tables.given(scored.filter("quality_predicted = 1"), docs, quality.RESULTS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.drop_copies(docs).select(*docs.columns)
+    return exact_dedup.drop_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.drop_near_copies(docs).select(*docs.columns)
+    return near_dedup.drop_near_copies(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, cover=True, max_repeats=2.0).select(*docs.columns)
+    return tables.given(mixing.mix(docs, cover=True, max_repeats=2.0), docs, mixing.RESULTS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
