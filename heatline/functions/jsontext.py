@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import re
@@ -11,38 +12,60 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_FENCED = re.compile(r"```(?:json)?\s*\n?(.*?)```", re.S | re.I)
+_OPEN, _CLOSE = re.compile(r"```(?:json)?\s*(?=\{)", re.I), re.compile(r"\}\s*```")
 
 
-def single_object(text: str | None) -> tuple[str | None, str]:
-    """(canonical JSON, how it was found): direct, fenced or embedded; else None with empty, invalid or ambiguous."""
-    text = (text or "").strip()
-    if not text:
-        return None, "empty"
+def _loaded(text: str) -> object:
+    """The JSON value of a whole text; None for anything else, and for null."""
     try:
-        value = json.loads(text)
-        return (canonical(value), "direct") if isinstance(value, dict) else (None, "invalid")
-    except ValueError:
-        pass
-    fenced = _FENCED.findall(text)
-    if len(fenced) > 1:
-        return None, "ambiguous"
-    if fenced:
-        try:
-            value = json.loads(fenced[0])
-            return (canonical(value), "fenced") if isinstance(value, dict) else (None, "invalid")
-        except ValueError:
-            return None, "invalid"
+        return json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+
+
+def _fenced(text: str) -> list[dict]:
+    """The objects that stand alone in a fence; fences with anything else don't count."""
+    closes = [m.start() + 1 for m in _CLOSE.finditer(text)]
+    found, at = [], 0
+    while m := _OPEN.search(text, at):
+        k = bisect.bisect_right(closes, m.end())
+        if k == len(closes):
+            break
+        value = _loaded(text[m.end() : closes[k]])
+        found += [value] if isinstance(value, dict) else []
+        at = text.index("```", closes[k]) + 3
+    return found
+
+
+def _embedded(text: str) -> list[dict]:
+    """The objects anywhere in a text, none of them inside another."""
     decoder, at, found = json.JSONDecoder(), 0, []
-    while (at := text.find("{", at)) >= 0:
+    while (at := text.find("{", at)) >= 0 and len(found) < 2:
         try:
             value, at = decoder.raw_decode(text, at)
             found.append(value)
-        except ValueError:
+        except (ValueError, RecursionError):
             at += 1
-    if len(found) > 1:
-        return None, "ambiguous"
-    return (canonical(found[0]), "embedded") if found else (None, "invalid")
+    return found
+
+
+def single_object(text: str | None) -> tuple[str | None, str]:
+    """(canonical JSON, how it was found): direct, fenced or embedded; else None with empty, invalid or ambiguous.
+
+    A text that is a JSON value of another kind is invalid.  One object in fences wins
+    over objects elsewhere; two of a kind are ambiguous.  Texts with very many braces
+    that open nothing take time in proportion to their number and the text's length.
+    """
+    text = (text or "").strip()
+    if not text:
+        return None, "empty"
+    whole = _loaded(text)
+    if whole is not None:
+        return (canonical(whole), "direct") if isinstance(whole, dict) else (None, "invalid")
+    for name, find in (("fenced", _fenced), ("embedded", _embedded)):
+        if found := find(text):
+            return (canonical(found[0]), name) if len(found) == 1 else (None, "ambiguous")
+    return None, "invalid"
 
 
 def canonical(value: object) -> str:
@@ -80,16 +103,6 @@ def hashed(text: Column) -> Column:
     return run(text)
 
 
-def python_round(x: Column, digits: int) -> Column:
-    """Rounding of the exact binary value, half to even; the built-in rounds the shortest decimal half up."""
-
-    @F.arrow_udf(T.DoubleType())
-    def run(column: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else round(v, digits) for v in column.to_pylist()], pa.float64())
-
-    return run(x)
-
-
 def check(op: Column, actual: Column, expected: Column, absolute: Column, relative: Column) -> Column:
     """One numeric check: equal, approx or less_equal; null actual fails."""
     close = F.abs(actual - expected) <= F.greatest(relative * F.greatest(F.abs(actual), F.abs(expected)), absolute)

@@ -14,30 +14,55 @@ from ..functions import calc, formula, refdata
 from . import lookup, validation
 
 # ---- fixed values: model code, field, type, required, default, least, largest ----
-FIELDS = """
-A001 value number 1 - - -; A001 source_unit string 1 - - -; A001 target_unit string 1 - - -
-A002 formula string 1 - - -; A003 formula string 1 - - -
-A004 compositions object 1 - - -; A004 tolerance number 0 0.001 - -
-A005 input_streams object 1 - - -; A005 output_streams object 1 - - -; A005 tolerance number 0 0.001 - -
-B001 species string 1 - - -; B001 temperature number 1 298.15 - -
-B002 species string 1 - - -; B002 temperature number 1 298.15 - -
-B003 species string 1 - - -; B003 temperature_start number 1 298.15 - -; B003 temperature_end number 1 1873 - -; B003 mass number 0 1 - -
-B004 species string 1 - - -; B004 temperature_start number 1 298.15 - -; B004 temperature_end number 1 1873 - -
-B005 species string 1 - - -; B005 temperature number 1 298.15 - -
-B006 reaction string 1 - - -; B006 temperature number 0 298.15 - -
-B007 reaction string 1 - - -; B007 temperature number 0 298.15 - -
-B008 reaction string 1 - - -; B008 temperature number 0 298.15 - -; B008 pressure number 0 1 - -
-B009 reaction string 1 - - -; B009 temperature number 1 1600 - -
-B019 overall_composition number 1 - 0 100; B019 phase1_composition number 1 - 0 100; B019 phase2_composition number 1 - 0 100
-C001 A number 1 - - -; C001 Ea number 1 - - -; C001 temperature number 1 - - -; C001 Ea_unit string 0 J - -
-C002 D0 number 1 - - -; C002 Q number 1 - - -; C002 temperature number 1 - - -; C002 Q_unit string 0 J - -
-"""
+FIELDS = [
+    ("A001", "value", "number", True, None, None, None),
+    ("A001", "source_unit", "string", True, None, None, None),
+    ("A001", "target_unit", "string", True, None, None, None),
+    ("A002", "formula", "string", True, None, None, None),
+    ("A003", "formula", "string", True, None, None, None),
+    ("A004", "compositions", "object", True, None, None, None),
+    ("A004", "tolerance", "number", False, "0.001", None, None),
+    ("A005", "input_streams", "object", True, None, None, None),
+    ("A005", "output_streams", "object", True, None, None, None),
+    ("A005", "tolerance", "number", False, "0.001", None, None),
+    ("B001", "species", "string", True, None, None, None),
+    ("B001", "temperature", "number", True, "298.15", None, None),
+    ("B002", "species", "string", True, None, None, None),
+    ("B002", "temperature", "number", True, "298.15", None, None),
+    ("B003", "species", "string", True, None, None, None),
+    ("B003", "temperature_start", "number", True, "298.15", None, None),
+    ("B003", "temperature_end", "number", True, "1873", None, None),
+    ("B003", "mass", "number", False, "1", None, None),
+    ("B004", "species", "string", True, None, None, None),
+    ("B004", "temperature_start", "number", True, "298.15", None, None),
+    ("B004", "temperature_end", "number", True, "1873", None, None),
+    ("B005", "species", "string", True, None, None, None),
+    ("B005", "temperature", "number", True, "298.15", None, None),
+    ("B006", "reaction", "string", True, None, None, None),
+    ("B006", "temperature", "number", False, "298.15", None, None),
+    ("B007", "reaction", "string", True, None, None, None),
+    ("B007", "temperature", "number", False, "298.15", None, None),
+    ("B008", "reaction", "string", True, None, None, None),
+    ("B008", "temperature", "number", False, "298.15", None, None),
+    ("B008", "pressure", "number", False, "1", None, None),
+    ("B009", "reaction", "string", True, None, None, None),
+    ("B009", "temperature", "number", True, "1600", None, None),
+    ("B019", "overall_composition", "number", True, None, 0, 100),
+    ("B019", "phase1_composition", "number", True, None, 0, 100),
+    ("B019", "phase2_composition", "number", True, None, 0, 100),
+    ("C001", "A", "number", True, None, None, None),
+    ("C001", "Ea", "number", True, None, None, None),
+    ("C001", "temperature", "number", True, None, None, None),
+    ("C001", "Ea_unit", "string", False, "J", None, None),
+    ("C002", "D0", "number", True, None, None, None),
+    ("C002", "Q", "number", True, None, None, None),
+    ("C002", "temperature", "number", True, None, None, None),
+    ("C002", "Q_unit", "string", False, "J", None, None),
+]
 
 
 def field_rows() -> list[tuple]:
-    rows = [x.split() for line in FIELDS.strip().splitlines() for x in line.split(";")]
-    number = lambda x: None if x == "-" else float(x)
-    return [(i, r[0], r[1], r[2], r[3] == "1", None if r[4] == "-" else r[4], number(r[5]), number(r[6])) for i, r in enumerate(rows)]
+    return [(i, *r[:5], *(None if x is None else float(x) for x in r[5:])) for i, r in enumerate(FIELDS)]
 
 
 def fields(spark: SparkSession) -> DataFrame:

@@ -50,13 +50,17 @@ def term_table(spark, sf_dir):
     return t.agg(F.count(F.lit(1)).alias("terms"), F.sum("weight").alias("weight"), F.count_distinct("code").alias("codes"))
 
 
-@query("""WITH d AS (SELECT doc_id, lower(substr(text, 1, 400)) AS q FROM documents), a AS (SELECT doc_id, (contains(q, 'the') OR contains(q, 'and')) AS asks, (contains(q, 'von') OR contains(q, 'que')) AS concept FROM d)
-    SELECT asks, concept, count(*) AS n, count(*) FILTER (asks OR NOT concept) AS needs_tool FROM a GROUP BY 1, 2""")
+@query(f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS q, trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) AS n FROM documents),
+    a AS (SELECT contains(q, 'the') OR contains(q, 'and') AS asks, contains(q, 'von') OR contains(q, 'que') AS concept, {' OR '.join(f"contains(n, '{w}')" for _, w, _ in _WORDS)} AS candidates FROM d)
+    SELECT asks, concept, candidates, count(*) AS n, count(*) FILTER (candidates AND (asks OR NOT concept)) AS needs_tool FROM a GROUP BY 1, 2, 3""")
 def need_tool(spark, sf_dir):
-    q = F.lower(F.substring("text", 1, 400))
-    asks, concept = retrieval.contains_any(q, ("the", "and")), retrieval.contains_any(q, ("von", "que"))
-    d = read(spark, sf_dir, "documents").select(asks.alias("asks"), concept.alias("concept"))
-    return d.groupBy("asks", "concept").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("asks") | ~F.col("concept")).alias("needs_tool"))
+    q, asking, concept = F.lower(F.coalesce("text", F.lit(""))), ("the", "and"), ("von", "que")
+    candidates = retrieval.contains_any(retrieval.normalised_query(F.col("text")), tuple(w for _, w, _ in _WORDS))
+    d = read(spark, sf_dir, "documents").select(
+        retrieval.contains_any(q, asking).alias("asks"), retrieval.contains_any(q, concept).alias("concept"), candidates.alias("candidates"),
+        retrieval.needs_tool(F.col("text"), candidates, asking, concept).alias("needs"),
+    )
+    return d.groupBy("asks", "concept", "candidates").agg(F.count(F.lit(1)).alias("n"), F.count_if("needs").alias("needs_tool"))
 
 
 # ---- traces: events are calls, users are traces ----

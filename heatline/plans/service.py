@@ -61,17 +61,19 @@ def html_coefficients(spark, sf_dir):
     return html.shomate_rows(pages).select("page_id", "range_no", "t_min", "t_max", F.col("A").alias("a"), F.col("H").alias("h"))
 
 
-@query("""SELECT status, count(*) AS n FROM (SELECT CASE event_id % 5 WHEN 0 THEN 'direct' WHEN 1 THEN 'fenced' WHEN 2 THEN 'embedded' WHEN 3 THEN 'ambiguous' ELSE 'invalid' END AS status FROM events) GROUP BY 1""")
+@query("""SELECT status, count(*) AS n FROM (SELECT CASE event_id % 8 WHEN 0 THEN 'direct' WHEN 1 THEN 'fenced' WHEN 2 THEN 'embedded' WHEN 3 THEN 'ambiguous' WHEN 5 THEN 'embedded' WHEN 6 THEN 'fenced' WHEN 7 THEN 'ambiguous' ELSE 'invalid' END AS status FROM events) GROUP BY 1""")
 def json_extraction(spark, sf_dir):
-    p, i = F.col("props"), F.col("event_id") % 5
-    text = F.when(i == 0, p).when(i == 1, F.concat(F.lit("See:\n```json\n"), p, F.lit("\n```"))).when(i == 2, F.concat(F.lit("The answer is "), p, F.lit("."))).when(i == 3, F.concat(p, F.lit(" or "), p)).otherwise("none {")
+    p, i = F.col("props"), F.col("event_id") % 8
+    fence = lambda x: F.concat(F.lit("```json\n"), x, F.lit("\n```\n"))
+    text = F.when(i == 0, p).when(i == 1, F.concat(F.lit("See:\n```json\n"), p, F.lit("\n```"))).when(i == 2, F.concat(F.lit("The answer is "), p, F.lit("."))).when(i == 3, F.concat(p, F.lit(" or "), p))
+    text = text.when(i == 5, F.concat(fence(F.lit("not json")), p)).when(i == 6, F.concat(fence(p), fence(F.lit("plain")))).when(i == 7, F.concat(fence(p), fence(p))).otherwise("none {")
     got = read(spark, sf_dir, "events").select(jsontext.extracted(text)["status"].alias("status"))
     return got.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id, sha256('{\"a\":1,\"k\":' || json_extract(props, '$.k') || '}') AS h FROM events WHERE event_id < 500")
+@query("SELECT event_id, sha256('{\"a\":1,\"k\":' || json_extract(props, '$.k') || '}') AS h FROM events")
 def contract_hashes(spark, sf_dir):
-    e = read(spark, sf_dir, "events").filter("event_id < 500")
+    e = read(spark, sf_dir, "events")
     text = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "contract_hash": "x", "a": 1}'))
     return e.select("event_id", jsontext.hashed(text).alias("h"))
 
