@@ -69,6 +69,15 @@ def fields(spark: SparkSession) -> DataFrame:
     return refdata.table(spark, field_rows(), "ordinal int, model_code string, field string, type string, required boolean, default_value string, least double, largest double")
 
 
+def tool_schemas(spec: DataFrame) -> DataFrame:
+    """(name, parameters) of every model: struct<type, properties: array<struct<name, type, default>>, required: array<string>>, fields in their order."""
+    own = F.struct("ordinal", F.struct(F.col("field").alias("name"), "type", F.col("default_value").alias("default")).alias("p"), "required")
+    folded = spec.groupBy("model_code").agg(F.array_sort(F.collect_list(own)).alias("f"))
+    properties = F.transform("f", lambda x: x["p"])
+    required = F.transform(F.filter("f", lambda x: x["required"]), lambda x: x["p"]["name"])
+    return folded.select(F.col("model_code").alias("name"), F.struct(F.lit("object").alias("type"), properties.alias("properties"), required.alias("required")).alias("parameters"))
+
+
 def validate(requests: DataFrame) -> DataFrame:
     """(request_id, rule) for everything wrong with the requests; unknown models have one rule."""
     spec = fields(requests.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import jsontext, refdata
-from ..operators import glmm, registry, retrieval
+from ..operators import glmm, registry
 from ..sources import html
 from ..sources.tables import read
 from .base import query
@@ -94,18 +94,3 @@ def mixed_model(spark, sf_dir):
     cells = glmm.cells(items, ["condition"], ["cluster"], "y")
     both = cells.withColumn("model", F.explode(F.array(F.lit("h3"), F.lit("h4"))))
     return glmm.fit(both, ["condition"], ["cluster"]).select("model", "term", F.round("estimate", 3).alias("estimate"), "converged")
-
-
-_DENSE = "list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))"
-
-
-@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.label, round({_DENSE} / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS score
-        FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND b.vec_id < 10)
-    SELECT query_id, label, max(score) AS score FROM s GROUP BY 1, 2""")
-def dense_routing(spark, sf_dir):
-    """Each query against ten prototype vectors (a fixed number), by cosine."""
-    e = read(spark, sf_dir, "embeddings")
-    prototypes = e.filter("vec_id < 10").agg(F.collect_list(F.struct("label", "embedding")).alias("_p"))
-    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).join(F.broadcast(prototypes))
-    scored = asked.select("query_id", F.explode("_p").alias("p"), "q").select("query_id", "p.label", F.round(retrieval.cosine(F.col("q"), F.col("p.embedding")), 6).alias("score"))
-    return scored.groupBy("query_id", "label").agg(F.max("score").alias("score"))
