@@ -180,7 +180,6 @@ def pack(
                     window, pieces, filled = [], [], 0
             if pieces:
                 yield _piece_batch(keys, counts, first, ids, window, pieces)
-        # Other operators' tasks may follow in this worker.
-        pa.default_memory_pool().release_unused()
+        tokens.give_back()
 
     return tables.small_batches(df).select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, SCHEMA)

@@ -16,6 +16,7 @@ that name with ``_in`` behind it.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 from collections.abc import Iterator
@@ -30,9 +31,9 @@ from pyspark.sql import types as T
 from . import tables, textnum
 
 #: Bytes of one call of the tokenizer, and of the text whose pieces are held at a time.
-ENCODE_BYTES, GROUP_BYTES = 1 << 18, 4 << 20
+ENCODE_BYTES, GROUP_BYTES = 1 << 16, 2 << 20
 #: Pieces that a Python worker remembers, their bytes of text, and the longest of them.
-KNOWN_PIECES, KNOWN_BYTES, KNOWN_LENGTH = 600_000, 12 << 20, 64
+KNOWN_PIECES, KNOWN_BYTES, KNOWN_LENGTH = 500_000, 8 << 20, 64
 #: Words that are joined for one encoding.
 JOINED = 128
 
@@ -78,7 +79,11 @@ def piece_starts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions starts[i] .. starts[i] + lengths[i] - 1 of all i, one after the other."""
     ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 31 and starts.max(initial=0) < 1 << 30 else np.int64
+    out = np.repeat((starts - ends + lengths).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 class PieceCoder:
@@ -96,9 +101,8 @@ class PieceCoder:
         if self.kind:
             # A word begins, or ends, with one token that no other place of a word can hold.
             suffix = self.tokenizer.model.end_of_word_suffix
-            vocabulary = self.tokenizer.get_vocab()
-            self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.edge[[i for t, i in vocabulary.items() if (t.endswith(suffix) if suffix else t[0] in "ĠĊ")]] = True
+            vocabulary = (self.tokenizer.id_to_token(i) or " " for i in range(self.tokenizer.get_vocab_size()))
+            self.edge = np.fromiter((t.endswith(suffix) if suffix else t[0] in "ĠĊ" for t in vocabulary), bool)
         self.joined = self.tokenizer
         if self.kind == "lower":
             # Lower-case words without marks need neither the normaliser nor the pattern.
@@ -220,6 +224,7 @@ class PieceCoder:
             own_ids = self.flat[ragged(starts.T.ravel(), sizes.T.ravel())]
             out = own_ids[ragged((np.cumsum(sizes.sum(0)) - sizes.sum(0))[at], lengths)]
         self._drop_long()
+        pa.default_memory_pool().release_unused()
         return lengths, out
 
     def _drop_long(self) -> None:
@@ -231,10 +236,17 @@ class PieceCoder:
             self.known, self.sizes, self.used = self.known.filter(pa.array(short)), self.sizes[short], self.used[short]
 
 
+def give_back() -> None:
+    """Hands memory that is free in this Python worker to the system; others share the executor's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def release() -> None:
     """Empties what this Python worker remembers; tasks of other operators may follow in it."""
     _coders.clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def coder(path: str, with_ids: bool) -> PieceCoder:
