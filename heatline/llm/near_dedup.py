@@ -46,9 +46,11 @@ WIDTH, BANDS, ROWS, SEED = 5, 32, 4, 20_240_229
 PERCENT = 75
 #: Standard deviations below the threshold at which a signature still passes.
 SLACK = 5.0
-BLOCK, HUBS = 512, 4
+BLOCK, LINK_BLOCK, HUBS = 512, 256, 4
 #: Pairs that a task remembers, so as not to give them out twice.
 SEEN = 1 << 18
+#: How a document of an open bucket is sent: in its main component, outside it, and outside and asking.
+INSIDE, OUTSIDE, ASKING = 0, 1, 2
 PROFILE = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, signature binary"
 PAIR = "x long, y long"
 
@@ -92,23 +94,26 @@ def _signature_rows(column: pa.Array) -> np.ndarray:
 
 
 def _similar_signatures(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and signatures allow a link."""
+    """Pairs (x, y, n) whose sizes and signatures allow a link."""
     least = _least_matches(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
                 alike = (_signature_rows(b.column(2)) == _signature_rows(b.column(3))).sum(1) >= least
-                yield b.select([0, 1]).filter(pa.array(alike))
+                yield b.select([0, 1, 4]).filter(pa.array(alike))
 
     own = classes.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("signature").alias("sx"))
     other = classes.select(F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("signature").alias("sy"))
     sized = pairs.join(own, "x").join(other, "y").filter(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-    return sized.select("x", "y", "sx", "sy").mapInArrow(run, PAIR)
+    return sized.select("x", "y", "sx", "sy", "n").mapInArrow(run, PAIR + ", n long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, scratch: tables.Scratch) -> DataFrame:
-    """Pairs linked by their full sets.  Each left text is sent once for every ``BLOCK`` of its partners, which stream past it."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs linked by their full sets.  Each left text is sent once for about every ``BLOCK`` of its partners, which stream past it.
+
+    ``n`` of a pair, the size of y's or x's largest bucket, bounds how many pairs one of its hubs is in.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = np.empty(0, np.uint64)
@@ -127,8 +132,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, scr
                             found.append((xs[i + k], docs[i + k]))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["x", "y"])
 
-    partners = scratch.stage(pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("salts")), "partners")
-    salted = pairs.join(partners, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("salts")).alias("salt"))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("y"), F.ceil(F.col("n") / BLOCK)))
     asked = salted.select("x", "salt", F.lit(0).alias("role"), F.col("x").alias("doc")).distinct().union(salted.select("x", "salt", F.lit(1).alias("role"), F.col("y").alias("doc")))
     rows = asked.join(texts, "doc").select("x", "salt", "role", "doc", "text")
     return rows.repartition("x", "salt").sortWithinPartitions("x", "salt", "role", "doc").mapInArrow(run, PAIR)
@@ -138,23 +142,27 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     """(x, component): documents that may be linked with some member of another, larger component.
 
     Takes one pair of blocks of a bucket after the other: one of documents outside the
-    bucket's main component and one of any members.
+    bucket's main component and one of any members.  Two documents that share several
+    buckets are looked at in the first of them only, and two from outside once.
     """
     least = _least_matches(percent)
     key, held = None, []
     seen: set[tuple[int, int]] = set()
 
     def compare() -> Iterator[pa.RecordBatch]:
-        outside, doc, size, comp, members = (np.array([r[k] for r in held]) for k in range(5))
-        if not outside.any() or outside.all():
+        role, doc, size, comp, members = (np.array([r[k] for r in held]) for k in range(5))
+        asking, own = np.flatnonzero(role == ASKING), np.flatnonzero(role != ASKING)
+        if not len(asking) or not len(own):
             return
         sig = np.frombuffer(b"".join(r[5] for r in held), np.uint8).reshape(len(held), -1)
-        own = np.flatnonzero(~outside)
+        bands = np.array([r[6] for r in held], np.int32)
+        earlier = bands[:, : int((bands == key[0] >> 32).all(0).argmax())]
         asked: set[tuple[int, int]] = set()
-        for i in np.flatnonzero(outside):
+        for i in asking:
             ok = (comp[own] != comp[i]) & (100 * np.minimum(size[own], size[i]) >= percent * np.maximum(size[own], size[i]))
-            at = own[ok]
+            at = own[ok & ((role[own] == INSIDE) | (doc[own] > doc[i]))]
             at = at[(sig[at] == sig[i]).sum(1) >= least]
+            at = at[~(earlier[at] == earlier[i]).any(1)]
             larger = (members[at] > members[i]) | ((members[at] == members[i]) & (comp[at] < comp[i]))
             asked.update((int(doc[i]), int(c)) for c in np.unique(comp[at[larger]]))
             asked.update((int(d), int(comp[i])) for d in doc[at[~larger]])
@@ -191,15 +199,15 @@ def _across_components(members: DataFrame, classes: DataFrame, labels: DataFrame
     open_buckets = scratch.stage(found.filter("lo <> hi").select("bucket", "main"), "open_buckets")
     rows = scratch.stage(named.join(open_buckets, "bucket").withColumn("out", F.col("component") != F.col("main")), "members_open")
     outside = scratch.stage(rows.filter("out").groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("outside")), "outside_sizes")
-    rows = rows.join(outside, "bucket").join(classes.select("doc_id", "n_shingles", "signature"), "doc_id")
+    rows = rows.join(outside, "bucket").join(classes.select("doc_id", "n_shingles", "signature", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("bands")), "doc_id")
     blocks = F.ceil(F.col("n") / BLOCK)
     # An outside block is low, a block of any members high; an outside document comes as both.
     all_low, all_high = F.sequence(F.lit(0).cast("long"), F.col("outside") - 1), F.sequence(F.lit(0).cast("long"), blocks - 1)
     own_low, own_high = F.pmod(F.xxhash64("doc_id"), F.col("outside")), F.pmod(F.xxhash64("doc_id"), blocks)
-    as_member = F.transform(all_low, lambda k: F.struct(k.alias("low"), own_high.alias("high"), F.lit(False).alias("outside")))
-    as_outside = F.transform(all_high, lambda k: F.struct(own_low.alias("low"), k.alias("high"), F.lit(True).alias("outside")))
+    as_member = F.transform(all_low, lambda k: F.struct(k.alias("low"), own_high.alias("high"), F.when(F.col("out"), OUTSIDE).otherwise(INSIDE).alias("role")))
+    as_outside = F.transform(all_high, lambda k: F.struct(own_low.alias("low"), k.alias("high"), F.lit(ASKING).alias("role")))
     sent = rows.withColumn("to", F.explode(F.when(F.col("out"), F.concat(as_member, as_outside)).otherwise(as_member)))
-    dealt = sent.select("bucket", "to.low", "to.high", "to.outside", "doc_id", "n_shingles", "component", "members", "signature")
+    dealt = sent.select("bucket", "to.low", "to.high", "to.role", "doc_id", "n_shingles", "component", "members", "signature", "bands")
     dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     return dealt.mapInArrow(lambda b: _across(b, percent), "x long, component long").distinct()
 
@@ -207,7 +215,7 @@ def _across_components(members: DataFrame, classes: DataFrame, labels: DataFrame
 def _members_linked(asked: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, scratch: tables.Scratch) -> DataFrame:
     """For each (x, component) a link of x, confirmed on the full sets, with one member in each block of the component that has any.
 
-    A component's members are sent in blocks, once for every ``BLOCK`` of documents that
+    A component's members are sent in blocks, once for every ``LINK_BLOCK`` of documents that
     ask for it; each x is sent to every block and compared with the members whose
     signatures allow a link, until one is confirmed.
     """
@@ -244,10 +252,10 @@ def _members_linked(asked: DataFrame, labels: DataFrame, classes: DataFrame, tex
                             break
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["x", "y"])
 
-    wanted = scratch.stage(asked.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("askers")), "components_asked")
+    wanted = scratch.stage(asked.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / LINK_BLOCK).alias("askers")), "components_asked")
     # A component of one document isn't among the labels; it is its own only member.
     own = wanted.join(labels.select("component", "node", "members"), "component", "left")
-    own = own.select("component", "askers", F.coalesce("node", "component").alias("doc"), F.ceil(F.coalesce("members", F.lit(1)) / BLOCK).alias("blocks"))
+    own = own.select("component", "askers", F.coalesce("node", "component").alias("doc"), F.ceil(F.coalesce("members", F.lit(1)) / LINK_BLOCK).alias("blocks"))
     own = scratch.stage(own, "members_asked")
     sizes = scratch.stage(own.groupBy("component").agg(F.max("blocks").alias("blocks"), F.max("askers").alias("askers")), "blocks_asked")
 
@@ -280,10 +288,10 @@ def near_groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wi
     hubs = members.groupBy("bucket").agg(*[F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k))).alias(f"hub_{k}") for k in range(HUBS)])
     hubs = scratch.stage(hubs.select("bucket", F.array_distinct(F.array(*[f"hub_{k}" for k in range(HUBS)])).alias("hubs")), "hubs")
     # A document is in BANDS buckets at most, so what is gathered for it is bounded.
-    held = members.select("bucket", "doc_id").join(hubs, "bucket").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs"))
-    star = held.select("doc_id", F.explode("hubs").alias("hub")).filter("doc_id <> hub").select(F.least("hub", "doc_id").alias("x"), F.greatest("hub", "doc_id").alias("y")).distinct()
+    held = members.select("bucket", "doc_id", "n").join(hubs, "bucket").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs"), F.max("n").alias("n"))
+    star = held.select("doc_id", "n", F.explode("hubs").alias("hub")).filter("doc_id <> hub").groupBy(F.least("hub", "doc_id").alias("x"), F.greatest("hub", "doc_id").alias("y")).agg(F.max("n").alias("n"))
     pairs = scratch.stage(_similar_signatures(star, classes, percent), "pairs")
-    links = scratch.stage(_confirmed(pairs, texts, width, percent, scratch), "links")
+    links = scratch.stage(_confirmed(pairs, texts, width, percent), "links")
     labels = scratch.stage(components.connected(links, scratch), "labels")
     sizes = scratch.stage(labels.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component_sizes")
     sized = scratch.stage(labels.join(sizes, "component").select("node", "component", "members"), "labels_sized")

@@ -83,6 +83,7 @@ def test_components_of_a_path_and_a_star(spark):
 def test_wide_buckets_lose_no_link(spark, monkeypatch):
     """One bucket of many components, in blocks of a few documents, and a component with many that ask for it."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "LINK_BLOCK", 4)
     monkeypatch.setattr(near_dedup, "HUBS", 1)
     rnd = random.Random(9)
     words = [f"w{i}" for i in range(60)]
