@@ -2,11 +2,13 @@
 
 Writes append a batch, never rewrite; a read keeps, for every key, the first values
 of fields fixed at creation and the last values of the others.  A store over two
-places writes to both and reads the first, filled up from the second.
+places writes to both and reads the batches of both together, so neither a failed
+write nor a place that is gone leaves stale rows.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +26,16 @@ class TraceStore:
         """Append rows under a batch number; later batches win."""
         rows.withColumn("_batch", F.lit(batch)).write.mode("append").parquet(f"{self.path}/{kind}")
 
+    def batches(self, kind: str) -> DataFrame:
+        """All that was ever saved, with its batch number."""
+        return self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/{kind}")
+
     def all(self, kind: str) -> DataFrame:
         """The present state of every record."""
-        rows = self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/{kind}")
+        return self.present(kind, self.batches(kind))
+
+    @staticmethod
+    def present(kind: str, rows: DataFrame) -> DataFrame:
         key, fixed = KEYS[kind], FIXED[kind]
         others = [c for c in rows.columns if c not in (key, "_batch")]
         # Nulls take no part, so a batch that leaves a field out doesn't wipe it.
@@ -44,7 +53,7 @@ class TraceStore:
 
 
 class ResilientStore:
-    """Writes to both stores, reads the first, filled up from the second."""
+    """Writes to both stores and reads the batches of both; the last error of the first is kept."""
 
     def __init__(self, primary: TraceStore, fallback: TraceStore) -> None:
         self.primary, self.fallback, self.last_error = primary, fallback, None
@@ -57,10 +66,9 @@ class ResilientStore:
             self.last_error = str(e)
 
     def all(self, kind: str) -> DataFrame:
-        second = self.fallback.all(kind)
+        rows = self.fallback.batches(kind)
         try:
-            first = self.primary.all(kind)
-        except Exception as e:
+            rows = rows.unionByName(self.primary.batches(kind), allowMissingColumns=True)
+        except AnalysisException as e:  # nothing was written there, or it is gone
             self.last_error = str(e)
-            return second
-        return first.unionByName(second.join(first.select(KEYS[kind]), KEYS[kind], "left_anti"), allowMissingColumns=True)
+        return TraceStore.present(kind, rows)
