@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import refdata
@@ -90,3 +90,15 @@ def molar_masses(df: DataFrame, key: str, formula: str) -> DataFrame:
     return rows.groupBy(key).agg(
         F.sum("n").alias("total_atoms"), F.count(F.lit(1)).alias("element_count"), F.round(F.sum(F.col("n") * F.col("weight")), 4).alias("molar_mass")
     )
+
+
+def mass_fractions(df: DataFrame, key: str, formula: str) -> DataFrame:
+    """key, element, n, mass_fraction (six decimals), is_stoichiometric (whether all counts of the formula are whole); none for invalid formulas.
+
+    ``key`` stands for one formula; a formula's elements are few, so a group is small.
+    """
+    whole = Window.partitionBy(key)
+    mass = F.col("n") * F.col("weight")
+    return element_rows(df, key, formula).select(
+        key, "element", "n", F.round(mass / F.sum(mass).over(whole), 6).alias("mass_fraction"), F.min(F.col("n") == F.floor("n")).over(whole).alias("is_stoichiometric")
+    )

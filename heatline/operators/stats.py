@@ -84,6 +84,22 @@ def holm(df: DataFrame, family: list[str], name: str, p: str) -> DataFrame:
     return df.withColumn("_raw", raw).withColumn("p_holm", F.max("_raw").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_raw")
 
 
+def comparison_report(contrasts: DataFrame, comparison: str, task: str, run: str, effect: str, level: float = 0.05) -> DataFrame:
+    """One row per planned comparison: estimate, one-sided sign test over tasks, Holm p, and whether all comparisons support the hypothesis.
+
+    ``contrasts`` has a mean effect for each (comparison, task, run).  The estimate is the mean
+    of run means, a task's effect the mean over its runs.  Support asks that every estimate be
+    positive and every adjusted p below ``level``; without comparisons there are no rows.
+    """
+    estimates = contrasts.groupBy(comparison, run).agg(F.avg(effect).alias("_e")).groupBy(comparison).agg(F.avg("_e").alias("estimate"))
+    tasks = contrasts.groupBy(comparison, task).agg(F.avg(effect).alias("_e")).groupBy(comparison)
+    signs = tasks.agg(F.count(F.lit(1)).alias("task_count"), F.count_if(F.col("_e") > 0).alias("_pos"), F.count_if(F.col("_e") != 0).alias("_n"))
+    rows = estimates.join(signs, comparison).withColumn("p", sign_test_p(F.col("_pos"), F.col("_n"))).withColumn("_family", F.lit(1))
+    holds = (F.col("estimate") > 0) & (F.col("p_holm") < level)
+    out = holm(rows, ["_family"], comparison, "p").withColumn("support", F.min(holds).over(Window.partitionBy("_family")))
+    return out.select(comparison, "estimate", "task_count", "p", "p_holm", "support")
+
+
 def agreement(pairs: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
     """Raw agreement and Cohen's kappa of two label columns in each group; kappa is 1 where chance alone explains all."""
     cells = pairs.groupBy(*group, a, b).agg(F.count(F.lit(1)).alias("n"))

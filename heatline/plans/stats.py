@@ -72,6 +72,23 @@ def sign_test(spark, sf_dir):
     return s.select("pos", "n", "zero", F.round(stats.sign_test_p(F.col("pos"), F.col("n")), 6).alias("p"))
 
 
+@query(f"""WITH c AS (SELECT task, run, max(y) FILTER (cond = 'F') AS f, max(y) FILTER (cond = 'O') AS o, max(y) FILTER (cond = 'P') AS p FROM {_ROWS} GROUP BY task, run, pool, cluster),
+    d AS (SELECT 'F_vs_O' AS comparison, task, run, f - o AS d FROM c UNION ALL SELECT 'F_vs_P', task, run, f - p FROM c),
+    m AS (SELECT comparison, task, run, avg(d) AS m FROM d WHERE d IS NOT NULL GROUP BY 1, 2, 3),
+    e AS (SELECT comparison, avg(e) AS estimate FROM (SELECT comparison, run, avg(m) AS e FROM m GROUP BY 1, 2) GROUP BY 1),
+    s AS (SELECT comparison, count(*) AS task_count, count(*) FILTER (e > 0) AS pos, count(*) FILTER (e <> 0) AS n FROM (SELECT comparison, task, avg(m) AS e FROM m GROUP BY 1, 2) GROUP BY 1),
+    p AS (SELECT *, CASE WHEN n = 0 THEN 1 ELSE least(1, list_sum(list_transform(range(pos, n + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2.0))))) END AS p FROM e JOIN s USING (comparison)),
+    h AS (SELECT *, max(least(1, (m - k + 1) * p)) OVER (ORDER BY p, comparison ROWS UNBOUNDED PRECEDING) AS p_holm FROM (SELECT *, row_number() OVER (ORDER BY p, comparison) AS k, count(*) OVER () AS m FROM p))
+    SELECT comparison, round(estimate, 9) AS estimate, task_count, round(p, 6) AS p, round(p_holm, 6) AS p_holm, bool_and(estimate > 0 AND p_holm < 0.05) OVER () AS support FROM h""")
+def planned_comparisons(spark, sf_dir):
+    """One condition against each other one, with the tests' family-wise correction and the support of the hypothesis."""
+    rows = _rows(spark, sf_dir)
+    pairs = [stats.pair_conditions(rows, ["task", "run", "pool", "cluster"], "cond", "y", "F", c).withColumn("comparison", F.lit(f"F_vs_{c}")) for c in ("O", "P")]
+    means = stats.pool_means(pairs[0].union(pairs[1]).filter("difference IS NOT NULL"), "task", "run", "pool", "difference", ("comparison",))
+    out = stats.comparison_report(means, "comparison", "task", "run", "mean_effect")
+    return out.select("comparison", F.round("estimate", 9).alias("estimate"), "task_count", F.round("p", 6).alias("p"), F.round("p_holm", 6).alias("p_holm"), "support")
+
+
 _P = [("h3", "a", 0.01), ("h3", "b", 0.03), ("h3", "c", 0.04), ("h4", "x", 0.5), ("h4", "y", 0.4), ("h4", "z", 0.02), ("h4", "w", 0.02)]
 
 

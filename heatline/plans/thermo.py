@@ -237,6 +237,24 @@ def formula_parse(spark, sf_dir):
     return parts.join(F.broadcast(masses), "fid", "left").select("fid", "n", F.round("total_atoms", 6).alias("atoms"), F.col("element_count").alias("elements"), F.col("molar_mass").alias("mass"))
 
 
+#: Atoms of each valid formula above, counted by hand.
+_ATOMS = [
+    (0, "Fe", 2.0), (0, "O", 3.0), (1, "Ca", 1.0), (1, "C", 1.0), (1, "O", 3.0), (2, "Ca", 1.0), (2, "O", 2.0), (2, "H", 2.0), (3, "K", 4.0), (3, "Fe", 1.0), (3, "C", 6.0), (3, "N", 6.0),
+    (4, "Al", 2.0), (4, "S", 3.0), (4, "O", 12.0), (5, "H", 2.0), (5, "O", 1.0), (6, "Fe", 0.947), (6, "O", 1.0),
+]
+
+
+@query(f"""WITH a AS (SELECT fid, element, n, n * weight AS m FROM {refdata.values_sql(_ATOMS, 'a', 'fid, element, n')} JOIN {refdata.values_sql(refdata.atomic_weights(), 'w', 'element, weight')} USING (element)),
+    f AS (SELECT fid, element, round(m / sum(m) OVER (PARTITION BY fid), 6) AS fraction, bool_and(n = floor(n)) OVER (PARTITION BY fid) AS whole FROM a)
+    SELECT element, whole AS is_stoichiometric, count(*) AS n, round(sum(p_retailprice * fraction), 2) AS mass FROM part JOIN f ON fid = p_size % 12 GROUP BY 1, 2""")
+def formula_mass_fractions(spark, sf_dir):
+    """Every part's price, as a mass of its formula, divided over the formula's elements."""
+    asked = refdata.table(spark, [(f[0], f[1]) for f in _FORMULAS], "fid int, formula string")
+    parts = read(spark, sf_dir, "part").select((F.col("p_size") % 12).alias("fid"), "p_retailprice")
+    rows = parts.join(F.broadcast(formula.mass_fractions(asked, "fid", "formula")), "fid")  # the formulas are the 12 above
+    return rows.groupBy("element", "is_stoichiometric").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("p_retailprice").cast("double") * F.col("mass_fraction")), 2).alias("mass"))
+
+
 @query(f"SELECT symbol, round(weight * 2, 4) AS twice FROM {refdata.values_sql(refdata.atomic_weights(), 'w', 'symbol, weight')}")
 def element_table(spark, sf_dir):
     return refdata.table(spark, refdata.atomic_weights(), "symbol string, weight double").select("symbol", F.round(F.col("weight") * 2, 4).alias("twice"))

@@ -133,3 +133,22 @@ def test_dynamic_predicates_fold_away(spark):
     df = spark.createDataFrame([("50%",), ("50x",), (None,)], "s string")
     assert df.filter(relational.all_of([relational.contains_text(F.col("s"), "0%"), None])).count() == 1
     assert df.filter(relational.all_of([None, relational.contains_text(F.col("s"), None)])).count() == 3
+
+
+def test_mass_fractions_of_formulas(spark):
+    asked = spark.createDataFrame([(1, "Fe2O3"), (2, "Fe0.947O"), (3, "Xx2"), (4, "O2")], "k int, f string")
+    got = {(r["k"], r["element"]): (r["mass_fraction"], r["is_stoichiometric"]) for r in formula.mass_fractions(asked, "k", "f").collect()}
+    assert got[(1, "Fe")] == (0.699431, True) and got[(1, "O")] == (0.300569, True) and got[(4, "O")] == (1.0, True)
+    assert [got[(2, e)][1] for e in ("Fe", "O")] == [False, False] and 3 not in {k for k, _ in got}
+
+
+def test_planned_comparisons_support_only_if_all_hold(spark):
+    rows = [(c, f"t{t}", 0, 0.5) for c in ("a", "b") for t in range(6)]
+    schema = "c string, t string, r int, e double"
+    report = lambda x: {r["c"]: r for r in stats.comparison_report(spark.createDataFrame(x, schema), "c", "t", "r", "e").collect()}
+    both = report(rows)
+    assert both["a"]["estimate"] == 0.5 and both["a"]["task_count"] == 6 and both["a"]["p"] == pytest.approx(1 / 64)
+    assert both["a"]["p_holm"] == both["b"]["p_holm"] == pytest.approx(1 / 32) and both["a"]["support"] and both["b"]["support"]
+    one = report([(c, t, r, -e if c == "b" else e) for c, t, r, e in rows])
+    assert one["b"]["p"] == 1 and not one["a"]["support"] and not one["b"]["support"]
+    assert report(rows[:0]) == {}
