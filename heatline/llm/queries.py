@@ -1,4 +1,4 @@
-"""The contract queries of the ten training-data operators, and their DuckDB SQL where SQL can say the same."""
+"""The contract queries of the training-data operators, and their DuckDB SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language, mixing, near_dedup, packing, quality, tables, tokens, topk, warc
+from . import alignment, bytepair, chat, exact_dedup, importance, language, mixing, near_dedup, packing, quality, tables, tokens, topk, warc
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +65,28 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(tables.read(spark, sf_dir, "documents"), tables.read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.read(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = alignment.alignments(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("b").isNull(), F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)))
+    scored = alignment.link_scores(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bytepair.with_ids(tables.read(spark, sf_dir, "documents").select("doc_id", "text"), *ranks).drop("text")
+    back = F.sha2(bytepair.decoded("bpe_ids", *ranks), 256)
+    return coded.select("doc_id", F.size("bpe_ids").cast("long").alias("n_tokens"), bytepair.ids_digest("bpe_ids").alias("ids_sha256"), back.alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_exact_dedup, op2_packing, op3_quality, op4_language, op5_warc, op6_mixing, op7_near_dedup, op8_chat, op9_token_counts, op10_topk)
+    own = (op1_exact_dedup, op2_packing, op3_quality, op4_language, op5_warc, op6_mixing, op7_near_dedup, op8_chat, op9_token_counts, op10_topk, op11_importance, op12_alignment, op13_byte_bpe)
     return {f.__name__: f for f in own}
 
 

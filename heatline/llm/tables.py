@@ -53,6 +53,10 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def remove(self, name: str) -> None:
+        """Deletes one table."""
+        remove(self.spark, f"{self.path}/{self.written.index(name) + 1}-{name}")
+
     def drop(self, *kept: str) -> None:
         """Deletes all tables but those that the result still reads."""
         for k, name in enumerate(self.written, 1):
