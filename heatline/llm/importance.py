@@ -2,7 +2,7 @@
 
 Features of a text are its runs of 1 to 3 consecutive words; a feature's bucket is its
 CRC-32 modulo ``BUCKETS``.  ``count_blocks`` turns documents into a sparse document by
-bucket count matrix, in CSR blocks: one row of the table holds some hundred documents
+bucket count matrix, in CSR blocks: one row of the table holds some documents
 (``docs``), where each one's entries begin (``starts``), and the entries (``buckets``,
 ``counts``).  The blocks are written once.  Their column sums, and those of the target's
 blocks, give the two distributions; the gains of the buckets are a vector of fixed length
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from . import tables, textnum
 
 BUCKETS, LONGEST = 10_000, 3
-#: Bytes of text whose features are held at a time, and entries of a block.
-GROUP_BYTES, BLOCK_ENTRIES = 2 << 20, 1 << 18
+#: Bytes of text whose features are held at a time, entries of a block, and bytes of blocks that are read at a time.
+GROUP_BYTES, BLOCK_ENTRIES, ROW_GROUP = 1 << 20, 1 << 14, 4 << 20
 BLOCKS = "docs array<bigint>, words array<bigint>, features array<bigint>, starts array<int>, buckets array<int>, counts array<int>"
 
 #: Word bytes: digits, lower-case letters, and every byte of a character beyond ASCII.
@@ -205,7 +205,7 @@ def resample(df: DataFrame, target: DataFrame, *, percent: int = 5, least_words:
     least ``least_words`` words, in the order of their scores; null elsewhere.
     """
     scratch = tables.Scratch(df.sparkSession, "importance")
-    blocks = scratch.stage(count_blocks(df, doc_id, text), "blocks")
+    blocks = scratch.stage(count_blocks(df, doc_id, text), "blocks", ROW_GROUP)
     wanted = count_blocks(target.select(F.lit(None).cast("long").alias("id"), F.col(f"`{text}`").alias("text")), "id", "text")
     gain = gains(column_sums(blocks), column_sums(wanted))
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 256), 1, 8), 16, 10).cast("long")

@@ -46,11 +46,14 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.path, self.written = spark, shared_path(spark, name), []
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it back: cuts the lineage and survives lost executors."""
+    def stage(self, df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+        """Write ``df`` as Parquet and read it back: cuts the lineage and survives lost executors.
+
+        ``row_group`` bounds the bytes of a row group, and so of a batch that is read, where rows hold long arrays.
+        """
         self.written.append(name)
         path = f"{self.path}/{len(self.written)}-{name}"
-        df.write.parquet(path)
+        (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self, name: str) -> None:
