@@ -9,9 +9,10 @@ each block of documents, the ids of A that it is linked with, and for each such
 documents and how often.  ``link_scores`` writes that table and cogroups it by the id of
 B: sorted streams bring an id's corpus-wide pair counts first, then its postings; a task
 looks up counts and the maximum, and gives what they contribute to documents; sums
-by document follow.  An id with many postings is dealt over several tasks, each with its
-counts, which are as many as A has ids at most.  Nothing else is held for an id, and
-contributions are given away as soon as ``HELD_DOCS`` documents have some.
+by document follow.  The ids are dealt to ``SIDES`` shares, and the postings of each share
+by groups of ``GROUP_BLOCKS`` blocks of documents, so that no id is one task's, however
+often it occurs: a group gets the id's counts (as many as A has ids at most), and a
+document has as many contributions as there are shares, whatever the corpus.
 
 Words (cut in front of a blank behind something else) are encoded once a group of about
 ``GROUP_BYTES`` and remembered: no token of A crosses such a cut, since its pattern ends
@@ -41,8 +42,8 @@ from . import tables, textnum, tokens
 
 #: Bytes of text that are taken at a time; links and documents of a block; words that a worker remembers, their bytes, and the longest.
 GROUP_BYTES, BLOCK_LINKS, BLOCK_DOCS, KNOWN_WORDS, KNOWN_BYTES, KNOWN_LENGTH = 2 << 20, 1 << 21, 1 << 14, 300_000, 16 << 20, 64
-#: Postings of an id of B for which another task is opened; documents whose contributions a task holds; documents of a row of contributions.
-TASK_POSTINGS, HELD_DOCS, SUM_DOCS = 1 << 22, 1 << 20, 256
+#: Shares of the ids of B, blocks of a group whose documents a task sums up, documents of a row of sums, and bytes of postings read at a time.
+SIDES, GROUP_BLOCKS, SUM_DOCS, ROW_GROUP = 64, 128, 256, 8 << 20
 
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum")
 POSTINGS = "b int, block long, a array<int>, ends array<int>, at array<smallint>, n array<int>"
@@ -317,51 +318,42 @@ def alignments(df: DataFrame, a_path: str, b_path: str, text: str = "text") -> D
 
 
 def _pair_counts(postings: DataFrame) -> DataFrame:
-    """(b, a, total, postings) of every pair, added up a batch at a time before they are shuffled."""
+    """(b, a, total) of every pair, added up a batch at a time before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b, a, ends, n = batch.columns
-            pairs = np.repeat(b.to_numpy(), a.value_lengths().to_numpy(zero_copy_only=False))
-            upto, posts = _absolute(a, ends, n)
+            pairs, posts = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, n))
+            upto = ends.flatten().to_numpy() + np.repeat(np.cumsum(posts) - posts, pairs)  # where each pair's postings end
             total = np.diff(np.append(0, np.cumsum(n.flatten().to_numpy()))[np.append(0, upto)])
-            key, where = np.unique(pairs.astype(np.int64) << 32 | a.flatten().to_numpy(), return_inverse=True)
-            sums = [np.zeros(len(key), np.int64) for _ in range(2)]
-            np.add.at(sums[0], where, total)
-            np.add.at(sums[1], where, posts)
-            yield pa.RecordBatch.from_arrays([pa.array((key >> 32).astype(np.int32)), pa.array((key & 0xFFFFFFFF).astype(np.int32)), *map(pa.array, sums)], names=["b", "a", "total", "posts"])
+            key, where = np.unique(np.repeat(b.to_numpy().astype(np.int64), pairs) << 32 | a.flatten().to_numpy(), return_inverse=True)
+            sums = np.zeros(len(key), np.int64)
+            np.add.at(sums, where, total)
+            yield pa.RecordBatch.from_arrays([pa.array((key >> 32).astype(np.int32)), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(sums)], names=["b", "a", "total"])
 
-    return postings.select("b", "a", "ends", "n").mapInArrow(run, "b int, a int, total long, posts long").groupBy("b", "a").agg(F.sum("total").alias("total"), F.sum("posts").alias("posts"))
-
-
-def _absolute(a: pa.ListArray, ends: pa.ListArray, n: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each pair's postings end in all postings of a batch, and how many it has."""
-    pairs, posts = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, n))
-    upto = ends.flatten().to_numpy() + np.repeat(np.cumsum(posts) - posts, pairs)
-    return upto, np.diff(upto, prepend=0)
+    return postings.select("b", "a", "ends", "n").mapInArrow(run, "b int, a int, total long").groupBy("b", "a").agg(F.sum("total").alias("total"))
 
 
 class _Sums:
-    """Contributions to documents, by block; given away when there are many."""
+    """Contributions of some ids of B to the documents of some blocks."""
 
     def __init__(self) -> None:
         self.blocks: dict[int, np.ndarray] = {}
 
     def add(self, block: int, at: np.ndarray, best: np.ndarray, total: np.ndarray) -> None:
-        sums = self.blocks.get(block)
-        if sums is None:
-            sums = self.blocks[block] = np.zeros((2, BLOCK_DOCS), np.int64)
+        sums, needed = self.blocks.get(block), int(at.max()) + 1
+        if sums is None or sums.shape[1] < needed:
+            grown = np.zeros((2, max(needed, 0 if sums is None else min(BLOCK_DOCS, 2 * sums.shape[1]))), np.int64)
+            if sums is not None:
+                grown[:, : sums.shape[1]] = sums
+            self.blocks[block] = sums = grown
         np.add.at(sums[0], at, best)
         np.add.at(sums[1], at, total)
 
-    def full(self) -> bool:
-        return len(self.blocks) * BLOCK_DOCS >= HELD_DOCS
-
     def rows(self) -> Iterator[pa.RecordBatch]:
         for block, sums in self.blocks.items():
             at = np.flatnonzero(sums[1])
-            part = at // SUM_DOCS
-            own, begin = np.unique(part, return_index=True)
+            own, begin = np.unique(at // SUM_DOCS, return_index=True)
             bounds = pa.array(np.append(begin, len(at)), pa.int32())
             lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (at.astype(np.int16), sums[0][at], sums[1][at])]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block, np.int64)), pa.array(own.astype(np.int32)), *lists], names=["block", "part", "at", "n_best", "count_sum"])
@@ -369,10 +361,13 @@ class _Sums:
 
 
 def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by id of B, its counts before its postings."""
-    sums, counted, ids, counts, most = _Sums(), None, np.empty(0, np.int32), np.empty(0, np.int64), 0
+    """Rows come by share and id of B, an id's counts before its postings."""
+    sums, share, counted, ids, counts, most = _Sums(), None, None, np.empty(0, np.int32), np.empty(0, np.int64), 0
     for batch in batches:
-        for b, role, block, a, ends, at, n, total in zip(*batch.columns):
+        for own_share, b, role, block, a, ends, at, n, total in zip(*batch.columns):
+            if own_share.as_py() != share:
+                yield from sums.rows()
+                share = own_share.as_py()
             if role.as_py() == 0:
                 counted, ids, counts = b.as_py(), a.values.to_numpy(), total.values.to_numpy()
                 most = counts.max()
@@ -383,8 +378,6 @@ def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             each = np.repeat(own, np.diff(ends.values.to_numpy(), prepend=0))
             times = n.values.to_numpy().astype(np.int64)
             sums.add(block.as_py(), at.values.to_numpy(), times * (each == most), times * each)
-            if sums.full():
-                yield from sums.rows()
     yield from sums.rows()
 
 
@@ -409,25 +402,23 @@ def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from row()
 
 
-def link_scores(aligned: DataFrame, *, task_postings: int = TASK_POSTINGS) -> DataFrame:
+def link_scores(aligned: DataFrame, *, sides: int = SIDES, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
     """The documents of ``alignments`` (with further columns, or fewer), with n_best and count_sum."""
     names = [c.split(" ")[0] for c in POSTINGS.split(", ")]
     scratch = tables.Scratch(aligned.sparkSession, "alignment")
-    staged = scratch.stage(aligned, "alignments")
+    staged = scratch.stage(aligned, "alignments", ROW_GROUP)
     docs = staged.filter("b IS NULL").drop(*[c for c in names if c != "block"])
     postings = staged.filter("b IS NOT NULL").select(*names)
-    counts = scratch.stage(_pair_counts(postings), "counts")
-    by_a = F.array_sort(F.collect_list(F.struct("a", "total")))  # as many as A has ids at most
-    sides = counts.groupBy("b").agg(by_a.alias("pairs"), F.ceil(F.sum("posts") / task_postings).cast("int").alias("tasks"))
-    sides = scratch.stage(sides, "sides")
-    hot = sides.filter("tasks > 1").select("b", "tasks")  # as many as B has ids at most
-    first = sides.select(
-        "b", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("block"), F.col("pairs.a").alias("a"),
-        *[F.lit(None).cast(t).alias(c) for c, t in (("ends", "array<int>"), ("at", "array<smallint>"), ("n", "array<int>"))], F.col("pairs.total").alias("total"),
-    )
-    task = F.pmod(F.xxhash64("block"), F.coalesce(F.col("tasks"), F.lit(1))).cast("int")
-    dealt = postings.join(F.broadcast(hot), "b", "left").select("b", task.alias("task"), F.lit(1).alias("role"), "block", "a", "ends", "at", "n", F.lit(None).cast("array<bigint>").alias("total"))
-    stream = first.union(dealt).repartition("b", "task").sortWithinPartitions("b", "role").drop("task")
+    pairs = F.array_sort(F.collect_list(F.struct("a", "total")))  # as many as A has ids at most
+    counts = scratch.stage(_pair_counts(postings).groupBy("b").agg(pairs.alias("pairs")), "counts", ROW_GROUP)
+    groups = max(1, -(-docs.select("block").distinct().count() // group_blocks))
+    # An id's postings are dealt by groups of blocks, each with the id's counts.
+    share = lambda group: (group * sides + F.pmod(F.xxhash64("b"), F.lit(sides))).alias("share")
+    nothing = {c: F.lit(None).cast(t).alias(c) for c, t in (("block", "long"), ("ends", "array<int>"), ("at", "array<smallint>"), ("n", "array<int>"), ("total", "array<bigint>"))}
+    first = counts.select("b", "pairs", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    first = first.select(share(F.col("group")), "b", F.lit(0).alias("role"), nothing["block"], F.col("pairs.a").alias("a"), nothing["ends"], nothing["at"], nothing["n"], F.col("pairs.total").alias("total"))
+    dealt = postings.select(share(F.pmod(F.xxhash64("block"), F.lit(groups))), "b", F.lit(1).alias("role"), "block", "a", "ends", "at", "n", nothing["total"])
+    stream = first.union(dealt).repartition("share").sortWithinPartitions("share", "b", "role")
     given = stream.mapInArrow(_contributions, "block long, part int, at array<smallint>, n_best array<bigint>, count_sum array<bigint>")
     sums = given.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(_added_up, "block long, doc_at int, n_best long, count_sum long")
     scored = docs.join(sums, ["block", "doc_at"], "left").drop("block", "doc_at")

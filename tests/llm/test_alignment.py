@@ -103,7 +103,7 @@ def test_hot_ids_are_dealt_over_tasks(spark, coders, monkeypatch):
     df = spark.createDataFrame([(*d, "kept", 1) for d in docs], "doc_id long, text string, n_a string, extra int").repartition(6)
     aligned = alignment.alignments(df, A, B)
     assert {"n_a_in", "n_a", "extra", "groups"} <= set(aligned.columns)
-    scored = alignment.link_scores(aligned, task_postings=16)
+    scored = alignment.link_scores(aligned, sides=3, group_blocks=1)
     got = [(r["doc_id"], r["n_links"], r["n_best"], r["count_sum"], r["n_a_in"], r["extra"]) for r in scored.collect()]
     assert sorted(got) == sorted((r[0], *r[4:7], "kept", 1) for r in plain(coders, docs))
     assert scored.select("groups").distinct().count() == 7
