@@ -9,7 +9,8 @@ different chunks share a fingerprint.  Texts that hold a shared one are cut agai
 and listed by their chunks' SHA-256, so two forms of list never mix.  Verified recipes are then equal exactly
 if the texts are, so grouping compares short lists and long documents stay put.
 
-Null counts as empty; all empty texts are one group.  Rows that share a doc_id
+Null counts as empty; all empty texts are one group; a very long text is a long recipe of
+one row.  Rows that share a doc_id
 are one row each, and all of them are kept if that doc_id is the group's largest.
 Other columns of the input are not read.
 """
@@ -78,7 +79,12 @@ def find_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", fi
 
 
 def drop_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay: of equal texts those with the largest doc_id."""
-    gone = find_copies(df, doc_id=doc_id, text=text).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    """The rows of ``df`` that stay: of equal texts those with the largest doc_id.
+
+    A row goes by its doc_id and its text, so where rows with different texts share a
+    doc_id, each goes or stays by its own text.  A null doc_id is the smallest.
+    """
+    gone = find_copies(df, doc_id=doc_id, text=text).filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha256")).distinct()
     gone = tables.stage(gone, "copies_gone")
-    return df.join(gone, df[doc_id] == gone["_gone"], "left_anti")
+    same = df[doc_id].eqNullSafe(gone["_gone"]) & (F.sha2(normalised(df[text]), 256) == gone["_sha256"])
+    return df.join(gone, same, "left_anti")

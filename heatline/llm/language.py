@@ -16,8 +16,8 @@ what reaches the driver is ``2**BITS`` counts of each language at most.  A text
 
 Null texts and texts without a letter are ``und`` with score 0, and so is every
 text where there was nothing to learn from.  Ties go to the first language in
-alphabetical order.  Null labels are not learned from; of more than ``max_langs``
-different labels those with the most rows are learned, ties in alphabetical order.
+alphabetical order.  Null labels are not learned from.  Every task holds a table of all languages, so more
+than ``max_langs`` different labels raise an error; none is left out.
 Repeated rows are predicted each for itself.  Other columns pass through; one that is
 named as a result keeps its values under that name with ``_in`` behind it.
 """
@@ -93,7 +93,9 @@ def log_table(found: pa.Table) -> tuple[list[str], np.ndarray]:
 def fit(docs: DataFrame, *, max_docs: int = MAX_DOCS, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray]:
     """Languages in order and their log probabilities (buckets x languages), from (doc_id, text, lang)."""
     known = tables.small_batches(docs).filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
+    if len(sizes) > max_langs:
+        raise ValueError(f"more than {max_langs} languages: every task holds a table of all of them, so raise max_langs if memory allows")
     if not sizes:
         return [], np.zeros((1 << BITS, 0))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1_000_000, int(1_000_000 * max_docs / n) + 1))])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 Batch = TypeVar("Batch")
 _own_dirs: dict[str, str] = {}
+_folders: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/heatline-{uuid.uuid4().hex}/{name}"
+    _folders.append(f"{shared_dir(spark)}/heatline-{uuid.uuid4().hex}")
+    return f"{_folders[-1]}/{name}"
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -40,6 +42,17 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def folders() -> int:
+    """How many folders of staged tables this process has opened."""
+    return len(_folders)
+
+
+def clean(spark: SparkSession, since: int, upto: int | None = None) -> None:
+    """Deletes the staged tables of the folders opened from the ``since``-th on, up to the ``upto``-th: what was read from them must have been written elsewhere."""
+    for path in _folders[since:upto]:
+        remove(spark, path)
+
+
 class Scratch:
     """Tables that one call of an operator writes in a folder of its own."""
 

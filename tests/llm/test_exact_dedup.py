@@ -66,3 +66,10 @@ def test_drop_copies_keeps_all_columns(spark):
     kept = exact_dedup.drop_copies(frame(spark, ROWS))
     assert kept.columns == ["doc_id", "text", "h", "keep_id", "chunk"]
     assert sorted(r["doc_id"] for r in kept.collect()) == [r[0] for r in expected(ROWS) if r[3]]
+
+
+def test_drop_copies_goes_by_id_and_text(spark):
+    rows = [(5, "aaa"), (5, "bbb"), (9, "BBB"), (None, "aaa"), (None, "alone"), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(((r["doc_id"], r["text"]) for r in exact_dedup.drop_copies(df).collect()), key=str)
+    assert left == sorted([(5, "aaa"), (9, "BBB"), (None, "alone"), (None, None), (None, "")], key=str)

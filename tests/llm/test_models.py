@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -154,6 +155,8 @@ def test_columns_named_as_results_keep_their_values(spark):
     assert {(r["doc_id"], r["lang_pred_in"], r["lang_pred"]) for r in named.collect()} == {(1, "x", "en"), (2, "y", "und")}
 
 
-def test_of_too_many_labels_the_most_frequent_are_learned(spark):
+def test_too_many_labels_raise_an_error_and_none_is_left_out(spark):
     docs = spark.createDataFrame([(i, "abc def", f"l{i % 7 % 5}") for i in range(35)], "doc_id long, text string, lang string")
-    assert language.fit(docs, max_langs=2)[0] == ["l0", "l1"]
+    assert language.fit(docs, max_langs=5)[0] == ["l0", "l1", "l2", "l3", "l4"]
+    with pytest.raises(ValueError, match="more than 4 languages"):
+        language.fit(docs, max_langs=4)

@@ -1,5 +1,6 @@
 """The pipeline's stages as wired, each against brute force over what the stage before left."""
 
+import os
 import random
 from collections import Counter, defaultdict
 from types import SimpleNamespace
@@ -31,13 +32,17 @@ def run(spark, folder, rows, labels, monkeypatch):
     left = {}
 
     def stage(df, name):
-        left[name] = tables.stage(df, name)
-        return left[name]
+        staged = tables.stage(df, name)
+        left[name] = [tuple(r) for r in staged.collect()]
+        return staged
 
-    monkeypatch.setattr(corpus_pipeline, "tables", SimpleNamespace(read=tables.read, stage=stage, given=tables.given))
+    monkeypatch.setattr(corpus_pipeline, "tables", SimpleNamespace(**{n: getattr(tables, n) for n in ("read", "given", "folders", "clean")}, stage=stage))
+    before = tables.folders()
     out = corpus_pipeline.run(spark, str(folder)).collect()
     assert list(left) == [name for name, _ in corpus_pipeline.STAGES]
-    return out, {name: [tuple(r) for r in df.collect()] for name, df in left.items() if name != "packing"}
+    standing = [p for p in tables._folders[before:] if os.path.exists(p.removeprefix("file:"))]
+    assert len(standing) == 1 and standing == tables._folders[-1:]  # the result alone
+    return out, {name: rows for name, rows in left.items() if name != "packing"}
 
 
 def test_run_and_its_stages_equal_brute_force(spark, tmp_path, monkeypatch):
