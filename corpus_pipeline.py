@@ -3,7 +3,8 @@
 Each stage is one operator of ``heatline.llm``; it takes (spark, docs, sf_dir) and
 returns the documents that stay, with the columns of ``documents``, or, in the last
 stage, the packed pieces.  ``run`` writes every stage's result as Parquet in the
-shared folder and reads it again for the next, so a lost executor costs one stage.
+shared folder and reads it again for the next, so a lost executor costs one stage; what a
+stage was made from is deleted when it stands, so the result alone is left at the end.
 
 * quality: drops what the classifier rejects; null ``text`` is scored as empty.
 * exact_dedup: of equal texts the largest doc_id stays.
@@ -13,8 +14,9 @@ shared folder and reads it again for the next, so a lost executor costs one stag
 * packing: sequences of 4096 ids.
 
 No stage needs ``labels`` but the first; an empty table stays empty throughout.  Ties
-and repeated rows are taken as the operators say: rows that share a doc_id stay or go
-together, except that a text that stands twice under the largest doc_id stays twice.
+and repeated rows are taken as the operators say: in exact_dedup a row goes by its doc_id and
+text, and a text that stands twice under the largest doc_id stays twice; in the other
+stages rows that share a doc_id stay or go together.
 Very long texts go whole through every stage.  Further columns pass through all stages
 but packing, which doesn't read them, whatever their names.
 """
@@ -61,7 +63,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.read(spark, sf_dir, "documents")
+    docs, before = tables.read(spark, sf_dir, "documents"), tables.folders()
     for name, stage in STAGES:
-        docs = tables.stage(stage(spark, docs, sf_dir), name)
+        result = stage(spark, docs, sf_dir)
+        own = tables.folders()
+        docs = tables.stage(result, name)
+        tables.clean(spark, before, own)  # the stage before, and what this one wrote on its way
+        before = own
     return docs
