@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import stripped
+
 GAS_CONSTANT = 8.314
 
 
@@ -221,7 +223,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def pipe_set(text: Column) -> Column:
     """The sorted distinct non-empty trimmed parts of a|b|c."""
-    parts = F.transform(F.split(text, r"\|"), lambda x: F.trim(x))
+    parts = F.transform(F.split(text, r"\|"), stripped)
     return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
 
 

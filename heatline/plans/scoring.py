@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import calc, refdata
+from ..functions import calc, refdata, text
 from ..operators import retrieval, scoring, validation
 from ..operators import relational as rel
 from ..sources.tables import read
@@ -96,13 +96,57 @@ def final_behaviour(spark, sf_dir):
     return traces.select("user_id", scoring.final_behaviour(F.col("user_id") % 10 != 9, F.col("chain"), answer).alias("behaviour"))
 
 
-@query()
+def _numbers(source: str, keys: str) -> str:
+    """SQL: a table ``numbers`` of keys and ``xs``, all numbers of the column ``answer`` of ``source``."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    powers = "tight"
+    for written in ("×10^{", "×10××{", "×10{", "×10^", "×10××", "×10"):
+        powers = f"replace({powers}, '{written}', '{scoring.POWER}')"
+
+    def neighbours(parts: str, before: str, after: str, value: str) -> str:
+        left = f"regexp_extract(rtrim({parts}[{{0}}]), {quoted(before)}, 1)"
+        right = f"regexp_extract(ltrim({parts}[{{0}}]), {quoted(after)}, 1)"
+        taken = f"(i > 1 AND {right.format('i')} = trim({parts}[i]) AND {left.format('greatest(i - 1, 1)')} <> '')"
+        found = f"{left.format('i')} <> '' AND {right.format('i + 1')} <> '' AND NOT {taken}"
+        value = value.format(f"TRY_CAST({left.format('i')} AS DOUBLE)", f"TRY_CAST({right.format('i + 1')} AS DOUBLE)")
+        return f"list_transform(range(1, len({parts})), lambda i: CASE WHEN {found} THEN {value} END)"
+
+    commas = "',([0-9]{3})([^0-9])', '\\1\\2'"
+    return f"""
+        t AS (SELECT {keys}, translate(coalesce(answer, ''), {quoted(text.BLANKS)}, '{" " * len(text.BLANKS)}') AS plain FROM ({source})),
+        u AS (SELECT {keys}, translate(plain, '{scoring.SUPERSCRIPTS}{scoring.WIDE_DIGITS}{scoring.POWER}', '{scoring.PLAIN}0123456789 ') AS plain FROM t),
+        m AS (SELECT *, regexp_replace(translate(replace(lower(plain), '\\times', '×'), 'x*％', '××%'), ' *([×^{{}}%/]) *', '\\1', 'g') AS tight FROM u),
+        c AS (SELECT *, string_split(replace({powers}, '}}', ' '), '{scoring.POWER}') AS p, string_split(tight, '%') AS q, string_split(tight, '/') AS f FROM m),
+        numbers AS (SELECT {keys}, list_filter(
+            {neighbours("p", scoring.NUMBER_BEFORE, scoring.POWER_AFTER, "{0} * pow(10, {1})")}
+            || list_transform(q[:len(q) - 1], lambda x: TRY_CAST(regexp_extract(x, {quoted(scoring.NUMBER_BEFORE)}, 1) AS DOUBLE) / 100)
+            || {neighbours("f", scoring.INTEGER_BEFORE, scoring.INTEGER_AFTER, "{0} / nullif({1}, 0)")}
+            || list_transform(flatten(list_transform(regexp_extract_all(plain, {quoted(scoring.WRITTEN)}, 1),
+                lambda x: string_split(regexp_replace(regexp_replace(x || ' ', {commas}, 'g'), {commas}, 'g'), ','))), lambda x: TRY_CAST(trim(x) AS DOUBLE)),
+            lambda x: x IS NOT NULL) AS xs FROM c)"""
+
+
+_ANSWERS = """SELECT *, printf('K = %.2f×10^3, about %.1f%%, or 3/4 of 1,234 (x10⁻²)', l_quantity::DOUBLE, l_discount::DOUBLE * 100) AS answer FROM lineitem"""
+
+
+@query(f"""WITH {_numbers(_ANSWERS, "l_orderkey, l_linenumber, l_quantity")}
+    SELECT l_orderkey, l_linenumber, len(xs)::INT AS n, len(list_filter(xs, lambda x: abs(x - l_quantity * 1000) <= 1e-9 * greatest(abs(x), l_quantity * 1000))) > 0 AS correct FROM numbers""")
 def numeric_answers(spark, sf_dir):
-    """Numbers found in answers of many forms; patterns with lookbehind have no DuckDB form."""
+    """Numbers found in answers of many forms."""
     items = read(spark, sf_dir, "lineitem")
     answer = F.format_string("K = %.2f×10^3, about %.1f%%, or 3/4 of 1,234 (x10⁻²)", F.col("l_quantity"), F.col("l_discount") * 100)
-    found = F.exists(scoring.answer_numbers(answer), lambda x: calc.is_close(x, F.col("l_quantity") * 1000, rel=1e-9))
-    return items.select("l_orderkey", "l_linenumber", F.size(scoring.answer_numbers(answer)).alias("n"), found.alias("correct"))
+    items = items.select("l_orderkey", "l_linenumber", "l_quantity", scoring.answer_numbers(answer).alias("xs"))
+    found = F.exists("xs", lambda x: calc.is_close(x, F.col("l_quantity") * 1000, rel=1e-9))
+    return items.select("l_orderkey", "l_linenumber", F.size("xs").alias("n"), found.alias("correct"))
+
+
+@query(f"""WITH {_numbers("SELECT doc_id, text AS answer FROM documents", "doc_id")}
+    SELECT doc_id, len(xs)::INT AS n, len(list_filter(xs, lambda x: abs(x) < 1))::INT AS below_one, len(list_filter(xs, lambda x: x >= 1000))::INT AS large FROM numbers""")
+def document_numbers(spark, sf_dir):
+    """All numbers of the whole texts of documents."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", scoring.answer_numbers(F.col("text")).alias("xs"))
+    count = lambda rule: F.size(F.filter("xs", rule))
+    return docs.select("doc_id", F.size("xs").alias("n"), count(lambda x: F.abs(x) < 1).alias("below_one"), count(lambda x: x >= 1000).alias("large"))
 
 
 @query("""SELECT doc_id, (contains(lower(text), 'the') OR contains(lower(text), 'der')) AND (contains(lower(text), 'of') OR contains(lower(text), 'und')) AS has_concepts FROM documents""")
