@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import balance, base, contracts, relational, routing, scoring, service, stats, thermo  # noqa: F401
+from .plans import balance, base, contracts, documents, relational, routing, scoring, service, stats, thermo  # noqa: F401
 
 
 def queries() -> dict[str, base.Plan]:
