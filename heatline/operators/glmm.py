@@ -137,19 +137,3 @@ def fit(models: DataFrame, fixed: list[str], groups: list[str]) -> DataFrame:
         })
 
     return models.groupBy("model").applyInPandas(run, SCHEMA)
-
-
-def contrast(beta: np.ndarray, covariance: np.ndarray, weights: np.ndarray, alternative: str = "two-sided") -> dict:
-    """A planned contrast of estimates: value, standard error, z and p."""
-    value, error = float(weights @ beta), float(np.sqrt(weights @ covariance @ weights))
-    z = value / error
-    two = float(_p_two_sided(np.array([z]))[0])
-    p = two if alternative == "two-sided" else two / 2 if (z > 0) == (alternative == "greater") else 1 - two / 2
-    return {"estimate": value, "std_error": error, "z": z, "p_value": p}
-
-
-def response_difference(beta: np.ndarray, covariance: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> dict:
-    """A weighted sum of probabilities at design rows, with the delta-method standard error."""
-    p = 1 / (1 + np.exp(-(rows @ beta)))
-    slope = (weights * p * (1 - p)) @ rows
-    return {"estimate": float(weights @ p), "std_error": float(np.sqrt(slope @ covariance @ slope))}
