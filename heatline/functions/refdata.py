@@ -8,6 +8,7 @@ from __future__ import annotations
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # ---- fixed values: standard atomic weights, g/mol ----
 ATOMIC_WEIGHTS = [
@@ -293,3 +294,15 @@ def values_sql(rows: list[tuple], name: str, columns: str) -> str:
 def table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small literal DataFrame."""
     return spark.createDataFrame(rows, schema)
+
+
+def picked_sql(rows: list[tuple], columns: str, source: str, key: str) -> str:
+    """DuckDB: each row of ``source`` with the literal row whose place is ``key`` modulo their number."""
+    numbered = values_sql([(i, *r) for i, r in enumerate(rows)], "lit", f"_i, {columns}")
+    return f"(SELECT * FROM {source} JOIN {numbered} ON _i = {key} % {len(rows)})"
+
+
+def picked(df: DataFrame, rows: list[tuple], schema: str, key: str) -> DataFrame:
+    """Each row of ``df`` with the literal row whose place is ``key`` modulo their number."""
+    numbered = table(df.sparkSession, [(i, *r) for i, r in enumerate(rows)], f"_i long, {schema}")
+    return df.join(F.broadcast(numbered), F.col("_i") == F.col(key) % len(rows))  # the literal rows

@@ -164,3 +164,16 @@ def reconcile(recorded: DataFrame, recomputed: DataFrame, keys: list[str], toler
     rules = F.array_compact(F.array(*[F.when(F.coalesce(x, F.lit(False)), name) for name, x in broken.items()]))
     names = [F.when(F.col("_b").isNotNull(), F.col(f"_k_{k}")).otherwise(F.col(k)).alias(k) for k in keys]
     return rows.select(*names, F.explode(rules).alias("rule"))
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """(p, v): exact quantiles with linear interpolation, by order statistics out of ``mid_ranks``; null without values."""
+    ranked = _checkpointed(mid_ranks(df, value).select("value", F.col("n"), (F.col("rank") + (F.col("n") - 1) / 2).cast("long").alias("upto")))
+    total = ranked.agg(F.sum("n")).collect()[0][0] or 0
+    places = {p: p * (total - 1) for p in shares}
+    wanted = sorted({k for x in places.values() for k in (math.floor(x), math.ceil(x))})
+    holds = F.exists(F.array(*map(F.lit, wanted)), lambda k: (k >= F.col("upto") - F.col("n")) & (k < F.col("upto")))
+    found = [(r["upto"] - r["n"], r["upto"], float(r["value"])) for r in ranked.filter(holds).collect()] if total else []  # two rows for each share at most
+    at = {k: next((v for low, high, v in found if low <= k < high), None) for k in wanted}
+    rows = [(p, at[math.floor(x)] + (at[math.ceil(x)] - at[math.floor(x)]) * (x - math.floor(x)) if total else None) for p, x in places.items()]
+    return df.sparkSession.createDataFrame(rows, "p double, v double")

@@ -72,11 +72,11 @@ def converter_and_casting(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.round(calc.converter_oxygen(si, F.lit(0.05)), 4).alias("oxygen"), score.alias("score"), calc.casting_class(score).alias("grade"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, 'x [调用:thermo:{"t": ' || turn || '}] y [调用 : zzz : {}] ' || role AS s FROM conversations),
+@query("""WITH t AS (SELECT conv_id, turn, coalesce(text, '') || ' x [调用:thermo:{"t": ' || turn || '}] y [调用 : zzz : {}] ' || role AS s FROM conversations),
     m AS (SELECT conv_id, turn, unnest(regexp_extract_all(s, '\\[调用\\s*:\\s*(\\w+)\\s*:\\s*(\\{[\\s\\S]*?\\})\\]', 1)) AS model FROM t)
     SELECT model, model = 'thermo' AS known, count(*) AS n FROM m GROUP BY 1, 2""")
 def call_markers(spark, sf_dir):
     pattern = r"\[调用\s*:\s*(\w+)\s*:\s*(\{[\s\S]*?\})\]"
-    text = F.concat(F.lit('x [调用:thermo:{"t": '), F.col("turn").cast("string"), F.lit("}] y [调用 : zzz : {}] "), F.col("role"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(' x [调用:thermo:{"t": '), F.col("turn").cast("string"), F.lit("}] y [调用 : zzz : {}] "), F.col("role"))
     calls = read(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("model"))
     return calls.groupBy("model", (F.col("model") == "thermo").alias("known")).agg(F.count(F.lit(1)).alias("n"))

@@ -127,7 +127,7 @@ def annotation_contract(spark, sf_dir):
     return validation.violations(rows, ["c_custkey"], contracts.annotation_rules())
 
 
-_SIZES = "(SELECT l_partkey AS task, l_suppkey % 4 AS m, l_linenumber AS run, CASE l_orderkey % 3 WHEN 0 THEN 17 WHEN 1 THEN 120 ELSE 50 END AS size, CASE WHEN l_returnflag <> 'R' THEN (l_quantity > 25)::INT END AS ok FROM lineitem WHERE l_linestatus = 'O')"
+_SIZES = "(SELECT l_partkey AS task, l_suppkey % 4 AS m, l_linenumber AS run, CASE l_orderkey % 3 WHEN 0 THEN 17 WHEN 1 THEN 120 ELSE 50 END AS size, CASE WHEN l_returnflag <> 'R' THEN (l_quantity > 25)::INT END AS ok FROM lineitem)"
 _SCALE = f"""p AS (SELECT task, m, run, count(*) FILTER (size = 17) AS c17, count(*) FILTER (size = 120) AS c120, max(CASE WHEN size = 17 THEN ok END) AS s, max(CASE WHEN size = 120 THEN ok END) AS l FROM {_SIZES} GROUP BY 1, 2, 3),
     d AS (SELECT task, m, run, CASE WHEN c120 = 0 THEN 'no 120' WHEN c17 = 0 THEN 'no 17' WHEN s IS NULL OR l IS NULL THEN 'unobservable' END AS missing, l - s AS difference FROM p WHERE c17 + c120 > 0)"""
 
@@ -135,7 +135,7 @@ _SCALE = f"""p AS (SELECT task, m, run, count(*) FILTER (size = 17) AS c17, coun
 def _scale_pairs(spark, sf_dir):
     size = F.when(F.col("l_orderkey") % 3 == 0, "17").when(F.col("l_orderkey") % 3 == 1, "120").otherwise("50")
     ok = F.when(F.col("l_returnflag") != "R", (F.col("l_quantity") > 25).cast("int"))
-    rows = read(spark, sf_dir, "lineitem").filter("l_linestatus = 'O'").select(F.col("l_partkey").alias("task"), (F.col("l_suppkey") % 4).alias("m"), F.col("l_linenumber").alias("run"), size.alias("size"), ok.alias("ok"))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("task"), (F.col("l_suppkey") % 4).alias("m"), F.col("l_linenumber").alias("run"), size.alias("size"), ok.alias("ok"))
     return stats.pair_conditions(rows, ["task", "m", "run"], "size", "ok", "120", "17")
 
 
@@ -170,14 +170,34 @@ def adjudicated_labels(spark, sf_dir):
     return contracts.adjudicated(c, a, b, c.filter(k % 4 == 0).withColumn("label", F.lit("refuse")), "c_custkey")
 
 
-@query("""WITH x AS (SELECT c_mktsegment AS field, CASE WHEN c_custkey % 9 < 5 THEN 'y' ELSE 'n' END AS a, CASE WHEN c_custkey % 9 < 5 THEN 'y' WHEN c_custkey % 90 = 8 THEN 'y' ELSE 'n' END AS b FROM customer),
-    m AS (SELECT field, count(*) AS n, avg((a = b)::INT) AS raw, avg((a = 'y')::INT) AS ay, avg((b = 'y')::INT) AS b_y FROM x GROUP BY 1)
-    SELECT field, n, round(raw, 6) AS raw_agreement, round((raw - ay * b_y - (1 - ay) * (1 - b_y)) / (1 - ay * b_y - (1 - ay) * (1 - b_y)), 6) AS kappa, raw >= 0.7 AND (raw - ay * b_y - (1 - ay) * (1 - b_y)) / (1 - ay * b_y - (1 - ay) * (1 - b_y)) >= 0.75 AS passes FROM m""")
+#: Two annotators' labels and sets by customer, the segment being the field.
+_ANNOTATED = """(SELECT c_custkey, c_mktsegment AS field, CASE WHEN c_custkey % 9 < 5 THEN 'y' ELSE 'n' END AS a, CASE WHEN c_custkey % 9 < 5 OR c_custkey % 90 = 8 THEN 'y' ELSE 'n' END AS b FROM customer)"""
+_SETS = """(SELECT c_custkey, c_mktsegment AS field, CASE c_custkey % 4 WHEN 0 THEN [] WHEN 1 THEN ['x'] ELSE ['x', 'y'] END AS a, CASE WHEN c_custkey % 12 = 7 THEN ['z'] WHEN c_custkey % 4 = 0 THEN [] WHEN c_custkey % 4 = 1 THEN ['x'] ELSE ['y', 'x', 'y'] END AS b FROM customer)"""
+
+
+def _annotated(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("field"))
+    k, arr = F.col("c_custkey"), lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    core = c.select("*", F.when(k % 9 < 5, "y").otherwise("n").alias("a"), F.when((k % 9 < 5) | (k % 90 == 8), "y").otherwise("n").alias("b"))
+    plain = lambda last: F.when(k % 4 == 0, arr()).when(k % 4 == 1, arr("x")).otherwise(last)
+    return core, c.select("*", plain(arr("x", "y")).alias("a"), F.when(k % 12 == 7, arr("z")).otherwise(plain(arr("y", "x", "y"))).alias("b"))
+
+
+@query(f"""WITH m AS (SELECT field, avg((a = b)::INT) AS raw, avg((a = 'y')::INT) AS ay, avg((b = 'y')::INT) AS b_y FROM {_ANNOTATED} GROUP BY 1),
+    k AS (SELECT field, raw, (raw - ay * b_y - (1 - ay) * (1 - b_y)) / (1 - ay * b_y - (1 - ay) * (1 - b_y)) AS kappa FROM m),
+    j AS (SELECT field, avg(CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE len(list_intersect(a, b)) / len(list_distinct(a || b)) END) AS v FROM {_SETS} GROUP BY 1),
+    g AS (SELECT field, 'kappa' AS measure, kappa AS value, kappa >= 0.75 AS passes FROM k UNION ALL SELECT field, 'raw_agreement', raw, raw >= 0.7 FROM k UNION ALL SELECT field, 'mean_jaccard', v, v >= 0.8 FROM j)
+    SELECT field, measure, round(value, 6) AS value, passes FROM g UNION ALL SELECT NULL, 'overall', NULL, bool_and(passes) FROM g""")
 def agreement_gates(spark, sf_dir):
-    k = F.col("c_custkey")
-    pairs = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("field"), F.when(k % 9 < 5, "y").otherwise("n").alias("a"), F.when((k % 9 < 5) | (k % 90 == 8), "y").otherwise("n").alias("b"))
-    gates = contracts.agreement_gates(stats.agreement(pairs, ["field"], "a", "b"))
-    return gates.select("field", "n", F.round("raw_agreement", 6).alias("raw_agreement"), F.round("kappa", 6).alias("kappa"), "passes")
+    """Three gates by field, and the verdict over all."""
+    return contracts.agreement_gates(*_annotated(spark, sf_dir)).select("field", "measure", F.round("value", 6).alias("value"), "passes")
+
+
+@query(f"""SELECT c_custkey, CASE WHEN x.a <> x.b THEN x.field ELSE '' END AS core_fields, CASE WHEN list_sort(list_distinct(s.a)) <> list_sort(list_distinct(s.b)) THEN x.field ELSE '' END AS set_fields
+    FROM {_ANNOTATED} x JOIN {_SETS} s USING (c_custkey) WHERE x.a <> x.b OR list_sort(list_distinct(s.a)) <> list_sort(list_distinct(s.b))""")
+def annotator_disagreements(spark, sf_dir):
+    found = contracts.disagreements(*_annotated(spark, sf_dir), "c_custkey")
+    return found.select("c_custkey", F.array_join("core_fields", ",").alias("core_fields"), F.array_join("set_fields", ",").alias("set_fields"))
 
 
 _FLAGS = ["path_compliant", "decision_right", "semantic", "numeric_right"]

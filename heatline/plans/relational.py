@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import calc, refdata
+from ..operators import contracts
 from ..operators import relational as rel
 from ..sources.tables import read
 from .base import query
@@ -137,18 +138,21 @@ def nearest_one(spark, sf_dir):
     return read(spark, sf_dir, "orders").filter(gap < 20000).orderBy(gap, "o_orderkey").select("o_orderkey").limit(1)
 
 
-@query("""SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role <> 'system') WHERE r <= 4 GROUP BY conv_id""")
+@query("""SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role <> 'system') WHERE r <= 10 GROUP BY conv_id""")
 def recent_history(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    last = read(spark, sf_dir, "conversations").filter("role <> 'system'").select("conv_id", "turn", "role").withColumn("r", F.row_number().over(w)).filter("r <= 4")
+    last = read(spark, sf_dir, "conversations").filter("role <> 'system'").select("conv_id", "turn", "role").withColumn("r", F.row_number().over(w)).filter("r <= 10")
     return last.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",").alias("roles"))
 
 
-@query("SELECT pages.p AS current, greatest(1, pages.p - 2)::BIGINT AS first, least(9, pages.p + 2)::BIGINT AS last FROM (SELECT range AS p FROM range(1, 10)) pages")
+@query("""WITH c AS (SELECT o_custkey, ceil(count(*) / 5.0)::BIGINT AS pages FROM orders GROUP BY 1)
+    SELECT o_custkey, p AS current, greatest(1, p - 2)::BIGINT AS first, least(pages, p + 2)::BIGINT AS last FROM (SELECT o_custkey, pages, unnest(range(1, pages + 1)) AS p FROM c)""")
 def page_numbers(spark, sf_dir):
-    p = spark.range(1, 10).withColumnRenamed("id", "current")
-    around = F.sequence(F.greatest(F.lit(1).cast("long"), F.col("current") - 2), F.least(F.lit(9).cast("long"), F.col("current") + 2))
-    return p.select("current", F.get(around, 0).alias("first"), F.element_at(around, -1).alias("last"))
+    """For every page of five orders of a customer, the page numbers shown around it."""
+    pages = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.ceil(F.count(F.lit(1)) / 5).alias("pages"))
+    p = pages.select("o_custkey", "pages", F.explode(F.sequence(F.lit(1).cast("long"), "pages")).alias("current"))
+    around = F.sequence(F.greatest(F.lit(1).cast("long"), F.col("current") - 2), F.least("pages", F.col("current") + 2))
+    return p.select("o_custkey", "current", F.get(around, 0).alias("first"), F.element_at(around, -1).alias("last"))
 
 
 # ---- writes ----
@@ -222,13 +226,20 @@ def case_mode_grid(spark, sf_dir):
 # ---- sets and windows ----
 
 
-@query("""WITH d(design, n, size) AS (SELECT 'dose', n, s FROM (VALUES (0), (2), (4), (8), (16)) a(n), (VALUES (17), (50), (100), (120)) b(s) UNION ALL SELECT 'mixed', -1, s FROM (VALUES (17), (50), (100), (120)) b(s))
-    SELECT design, n, size, rep FROM d, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) r(rep)""")
+#: The 120 keys of pools that every task needs: doses of neighbours in four sizes, mixed ones in four, each five times.
+_POOL_KEYS = [f"{design}/{n}/{size}/{rep}" for design, n in (*(("dose", n) for n in (0, 2, 4, 8, 16)), ("mixed", -1)) for size in (17, 50, 100, 120) for rep in "ABCDE"]
+_POOLS = ", ".join(f"'{k}'" for k in _POOL_KEYS)
+
+
+@query(f"""WITH k AS (SELECT [{_POOLS}] AS names), e AS (SELECT user_id, CASE WHEN event_id % 37 = 0 THEN 'other/' || (event_id % 5) ELSE names[event_id * 7 % 120 + 1] END AS key FROM events, k),
+    u AS (SELECT user_id, list(DISTINCT key) AS own FROM e GROUP BY 1)
+    SELECT user_id, array_to_string(list_filter(names, lambda n: NOT list_contains(own, n)), ',') AS missing, len(list_filter(own, lambda o: NOT list_contains(names, o))) AS surplus FROM u, k""")
 def required_pool_keys(spark, sf_dir):
-    sizes = F.explode(F.array(*map(F.lit, (17, 50, 100, 120))))
-    dose = spark.range(1).select(F.lit("dose").alias("design"), F.explode(F.array(*map(F.lit, (0, 2, 4, 8, 16)))).alias("n")).select("design", "n", sizes.alias("size"))
-    mixed = spark.range(1).select(F.lit("mixed").alias("design"), F.lit(-1).alias("n"), sizes.alias("size"))
-    return dose.union(mixed).select("*", F.explode(F.array(*map(F.lit, "ABCDE"))).alias("rep"))
+    """Which of the required pools each user's events lack, and how many others they have."""
+    names, i = F.array(*map(F.lit, _POOL_KEYS)), F.col("event_id")
+    key = F.when(i % 37 == 0, F.concat(F.lit("other/"), i % 5)).otherwise(F.get(names, (i * 7 % 120).cast("int")))
+    found = contracts.pool_division(read(spark, sf_dir, "events").select("user_id", key.alias("key")), "user_id", "key", _POOL_KEYS)
+    return found.select("user_id", F.array_join("missing", ",").alias("missing"), "surplus")
 
 
 @query("SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")

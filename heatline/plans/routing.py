@@ -76,14 +76,18 @@ def mode_dispatch(spark, sf_dir):
 
 
 _FIELDS = refdata.values_sql([(r[0], r[1], r[2], r[3], r[4]) for r in registry.field_rows()], "f", "ordinal, code, field, type, required")
+_CODES = [(code,) for code in dict.fromkeys(r[1] for r in registry.field_rows())]
 
 
-@query(f"SELECT code, 'object' AS kind, string_agg(field || ':' || type, ',' ORDER BY ordinal) AS properties, string_agg(field, ',' ORDER BY ordinal) FILTER (required) AS required FROM {_FIELDS} GROUP BY 1")
+@query(f"""WITH s AS (SELECT code, 'object' AS kind, string_agg(field || ':' || type, ',' ORDER BY ordinal) AS properties, string_agg(field, ',' ORDER BY ordinal) FILTER (required) AS required FROM {_FIELDS} GROUP BY 1),
+    a AS (SELECT wanted AS code, count(*) AS asked FROM {refdata.picked_sql(_CODES, 'wanted', 'orders', 'o_custkey')} GROUP BY 1) SELECT s.*, a.asked FROM s JOIN a USING (code)""")
 def tool_schemas(spark, sf_dir):
-    """What a caller is told of each model: the properties of its parameters and which of them are required."""
+    """What a caller is told of each model that orders ask for: the properties of its parameters and which of them are required."""
     schema = registry.tool_schemas(registry.fields(spark))
+    asked = refdata.picked(read(spark, sf_dir, "orders").select("o_custkey"), _CODES, "code string", "o_custkey").groupBy("code").agg(F.count(F.lit(1)).alias("asked"))
     properties = F.array_join(F.transform("parameters.properties", lambda p: F.concat(p["name"], F.lit(":"), p["type"])), ",")
-    return schema.select(F.col("name").alias("code"), F.col("parameters.type").alias("kind"), properties.alias("properties"), F.array_join("parameters.required", ",").alias("required"))
+    told = schema.select(F.col("name").alias("code"), F.col("parameters.type").alias("kind"), properties.alias("properties"), F.array_join("parameters.required", ",").alias("required"))
+    return told.join(F.broadcast(asked), "code")  # one row for each model
 
 
 _UNIT = "(SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings)"

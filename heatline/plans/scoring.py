@@ -44,10 +44,11 @@ def retrieval_evaluation(spark, sf_dir):
     return retrieval.retrieval_measures(cases.select(need.alias("required"), F.coalesce("got", arr()).alias("candidates"), (case == 1).alias("multi"), F.col("got").isNull().alias("fallback")))
 
 
-@query("SELECT count(*) AS terms, sum(weight) AS weight, count(DISTINCT code) AS codes FROM " + refdata.values_sql(retrieval.term_rows(), "t", "code, term, weight"))
+@query("SELECT code, count(*) AS asked, count(DISTINCT term) AS terms, sum(weight) AS weight FROM " + refdata.picked_sql(retrieval.term_rows(), "code, term, weight", "orders", "o_orderkey") + " GROUP BY 1")
 def term_table(spark, sf_dir):
-    t = refdata.table(spark, retrieval.term_rows(), "code string, term string, weight double")
-    return t.agg(F.count(F.lit(1)).alias("terms"), F.sum("weight").alias("weight"), F.count_distinct("code").alias("codes"))
+    """How often orders ask for each code's terms."""
+    asked = refdata.picked(read(spark, sf_dir, "orders").select("o_orderkey"), retrieval.term_rows(), "code string, term string, weight double", "o_orderkey")
+    return asked.groupBy("code").agg(F.count(F.lit(1)).alias("asked"), F.count_distinct("term").alias("terms"), F.sum("weight").alias("weight"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS q, trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) AS n FROM documents),

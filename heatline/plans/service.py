@@ -42,11 +42,16 @@ def model_execution(spark, sf_dir):
 
 
 _FIELD_ROWS = [(r[1], r[4]) for r in registry.field_rows()]
+_MODEL_CODES = [(code,) for code in dict.fromkeys(r[0] for r in _FIELD_ROWS)]
 
 
-@query(f"SELECT model_code, count(*) AS fields, count(*) FILTER (required) AS required FROM {refdata.values_sql(_FIELD_ROWS, 'f', 'model_code, required')} GROUP BY 1")
+@query(f"""SELECT model_code, (SELECT count(*) FROM {refdata.values_sql(_FIELD_ROWS, 'f', 'code, required')} WHERE code = model_code) AS fields, (SELECT count(*) FILTER (required) FROM {refdata.values_sql(_FIELD_ROWS, 'f', 'code, required')} WHERE code = model_code) AS required, n AS requests
+    FROM (SELECT model_code, count(*) AS n FROM {refdata.picked_sql(_MODEL_CODES, 'model_code', 'orders', 'o_orderkey')} GROUP BY 1)""")
 def model_cards(spark, sf_dir):
-    return registry.fields(spark).groupBy("model_code").agg(F.count(F.lit(1)).alias("fields"), F.count_if("required").alias("required"))
+    """The card of each model that orders ask for, and how many do."""
+    cards = registry.fields(spark).groupBy("model_code").agg(F.count(F.lit(1)).alias("fields"), F.count_if("required").alias("required"))
+    asked = refdata.picked(read(spark, sf_dir, "orders").select("o_orderkey"), _MODEL_CODES, "model_code string", "o_orderkey")
+    return asked.groupBy("model_code").agg(F.count(F.lit(1)).alias("requests")).join(F.broadcast(cards), "model_code").select("model_code", "fields", "required", "requests")
 
 
 @query("""SELECT p_partkey AS page_id, r AS range_no, CASE WHEN r = 1 THEN 298.0 ELSE 1000.0 + p_size END AS t_min, CASE WHEN r = 1 THEN 1000.0 + p_size ELSE 6000.0 END AS t_max, (p_size + r)::DOUBLE AS a, -p_size / 10.0 AS h

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import refdata
-from ..operators import stats
+from ..operators import inference, stats
 from ..sources.tables import read
 from .base import query
 
@@ -89,13 +89,15 @@ def planned_comparisons(spark, sf_dir):
     return out.select("comparison", F.round("estimate", 9).alias("estimate"), "task_count", F.round("p", 6).alias("p"), F.round("p_holm", 6).alias("p_holm"), "support")
 
 
-_P = [("h3", "a", 0.01), ("h3", "b", 0.03), ("h3", "c", 0.04), ("h4", "x", 0.5), ("h4", "y", 0.4), ("h4", "z", 0.02), ("h4", "w", 0.02)]
+_P = "(SELECT o_orderstatus AS family, 'c' || (o_custkey % 12) AS name, (count(*) * 7 % 101 + 1) / 400.0 AS p FROM orders GROUP BY 1, 2)"
 
 
-@query(f"""WITH r AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY family) AS m FROM {refdata.values_sql(_P, 'p', 'family, name, p')} WINDOW w AS (PARTITION BY family ORDER BY p, name))
+@query(f"""WITH r AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY family) AS m FROM {_P} WINDOW w AS (PARTITION BY family ORDER BY p, name))
     SELECT family, name, round(max(least(1, (m - k + 1) * p)) OVER (PARTITION BY family ORDER BY p, name ROWS UNBOUNDED PRECEDING), 9) AS p_holm FROM r""")
 def holm_adjusted(spark, sf_dir):
-    return stats.holm(refdata.table(spark, _P, "family string, name string, p double"), ["family"], "name", "p").select("family", "name", F.round("p_holm", 9).alias("p_holm"))
+    """A p for each status and group of customers, taken from how many orders they have."""
+    cells = read(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("family"), F.concat(F.lit("c"), F.col("o_custkey") % 12).alias("name")).agg(((F.count(F.lit(1)) * 7 % 101 + 1) / 400.0).alias("p"))
+    return stats.holm(cells, ["family"], "name", "p").select("family", "name", F.round("p_holm", 9).alias("p_holm"))
 
 
 _LABELS = "(SELECT lang AS grp, (doc_id * 7 % 5) AS a, CASE WHEN doc_id % 4 = 0 THEN (doc_id % 5) ELSE (doc_id * 7 % 5) END AS b FROM documents)"
@@ -141,8 +143,8 @@ def bootstrap_with_given_draws(spark, sf_dir):
 
 @query("SELECT percentile::DOUBLE AS p, round(v, 6) AS v FROM (SELECT unnest([0.025, 0.5, 0.975]) AS percentile, unnest(quantile_cont(o_totalprice, [0.025, 0.5, 0.975])) AS v FROM orders)")
 def percentiles(spark, sf_dir):
-    v = read(spark, sf_dir, "orders").agg(F.percentile("o_totalprice", [0.025, 0.5, 0.975]).alias("v"))
-    return v.select(F.explode(F.arrays_zip(F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)).alias("p"), "v")).alias("x")).select(F.col("x.p").alias("p"), F.round("x.v", 6).alias("v"))
+    prices = read(spark, sf_dir, "orders").select(F.col("o_totalprice").cast("double").alias("price"))
+    return inference.quantiles(prices, "price", [0.025, 0.5, 0.975]).select("p", F.round("v", 6).alias("v"))
 
 
 @query("SELECT o_orderkey, round((o_totalprice - m) / s, 6) AS z FROM orders, (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders)")
@@ -152,12 +154,13 @@ def standardised(spark, sf_dir):
     return o.join(F.broadcast(s)).select("o_orderkey", F.round((F.col("o_totalprice") - F.col("m")) / F.col("s"), 6).alias("z"))
 
 
-_SUPPORT = [("a", True, True), ("a", True, True), ("b", True, False), ("b", True, True), ("c", False, True)]
+_SUPPORT = "(SELECT c_nationkey AS h, c_acctbal > -950 + 100 * (c_nationkey % 3) AS d, c_acctbal < 9900 - 5000 * (c_nationkey % 2) AS s FROM customer)"
 
 
-@query(f"SELECT h, CASE WHEN bool_and(d AND s) THEN 'full' WHEN bool_or(d AND s) THEN 'partial' ELSE 'not_supported' END AS support FROM {refdata.values_sql(_SUPPORT, 'v', 'h, d, s')} GROUP BY h")
+@query(f"SELECT h, CASE WHEN bool_and(d AND s) THEN 'full' WHEN bool_or(d AND s) THEN 'partial' ELSE 'not_supported' END AS support FROM {_SUPPORT} GROUP BY h")
 def support_classes(spark, sf_dir):
-    t = refdata.table(spark, _SUPPORT, "h string, d boolean, s boolean")
+    nation, balance = F.col("c_nationkey"), F.col("c_acctbal")
+    t = read(spark, sf_dir, "customer").select(nation.alias("h"), (balance > -950 + 100 * (nation % 3)).alias("d"), (balance < 9900 - 5000 * (nation % 2)).alias("s"))
     return t.groupBy("h").agg(stats.support_class(F.col("d"), F.col("s")).alias("support"))
 
 

@@ -98,10 +98,12 @@ def reaction_direction(spark, sf_dir):
     return _reaction_items(spark, sf_dir).groupBy("rid", calc.reaction_direction(F.col("dg")).alias("direction")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT rid, round(dh / (ds / 1000), 4) AS decomposition_k FROM {_REACTIONS} WHERE ds <> 0")
+@query(f"SELECT rid, count(*) AS n, count(*) FILTER (t_k > dh / (ds / 1000)) AS above, round(max(dh / (ds / 1000)), 4) AS decomposition_k FROM {_REACTED} WHERE ds <> 0 GROUP BY rid")
 def decomposition_temperature(spark, sf_dir):
-    reactions = refdata.table(spark, refdata.reactions(), "rid long, reaction string, dh double, ds double, name string")
-    return reactions.filter("ds <> 0").select("rid", F.round(calc.decomposition_kelvin(F.col("dh"), F.col("ds")), 4).alias("decomposition_k"))
+    """Of each reaction, how many items lie above the temperature at which it turns round."""
+    kelvin = calc.decomposition_kelvin(F.col("dh"), F.col("ds"))
+    items = _reaction_items(spark, sf_dir).filter("ds <> 0").groupBy("rid")
+    return items.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("t_k") > kelvin).alias("above"), F.round(F.max(kelvin), 4).alias("decomposition_k"))
 
 
 _TIER = [(0, "lo", 0.0, 200000.0, 2), (1, "mid", 50000.0, 300000.0, 1), (2, "hi", 150000.0, 500000.0, 3), (3, "top", 250000.0, 400000.0, 1)]
@@ -214,10 +216,12 @@ def unit_conversion(spark, sf_dir):
     )
 
 
-@query(f"SELECT category, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM {_UNITS} GROUP BY category")
+@query(f"SELECT category, count(*) AS n, count(DISTINCT name) AS units, round(sum(l_quantity::DOUBLE * factor), 3) AS total FROM {refdata.picked_sql(refdata.units(), 'unit_id, name, symbol, dimension, category, factor, off, least', 'lineitem', 'l_partkey')} GROUP BY category")
 def units_by_category(spark, sf_dir):
-    units, _ = lookup.unit_tables(spark)
-    return units.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
+    """Quantities in all units, by the units' category, in its base unit."""
+    items = refdata.picked(read(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity"), refdata.units(), "unit_id int, name string, symbol string, dimension string, category string, factor double, offset double, least double", "l_partkey")
+    total = F.round(F.sum(F.col("l_quantity").cast("double") * F.col("factor")), 3)
+    return items.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("units"), total.alias("total"))
 
 
 # ---- formulas ----
@@ -255,11 +259,15 @@ def formula_mass_fractions(spark, sf_dir):
     return rows.groupBy("element", "is_stoichiometric").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("p_retailprice").cast("double") * F.col("mass_fraction")), 2).alias("mass"))
 
 
-@query(f"SELECT symbol, round(weight * 2, 4) AS twice FROM {refdata.values_sql(refdata.atomic_weights(), 'w', 'symbol, weight')}")
+@query(f"SELECT symbol, count(*) AS n, round(sum(p_size * weight), 4) AS mass FROM {refdata.picked_sql(refdata.atomic_weights(), 'symbol, weight', 'part', 'p_partkey')} GROUP BY symbol")
 def element_table(spark, sf_dir):
-    return refdata.table(spark, refdata.atomic_weights(), "symbol string, weight double").select("symbol", F.round(F.col("weight") * 2, 4).alias("twice"))
+    """Parts as moles of an element each, in grams."""
+    parts = refdata.picked(read(spark, sf_dir, "part").select("p_partkey", "p_size"), refdata.atomic_weights(), "symbol string, weight double", "p_partkey")
+    return parts.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("p_size") * F.col("weight")), 4).alias("mass"))
 
 
-@query(f"SELECT symbol, count(*) AS n, min(v) AS lowest, max(v) AS highest FROM {refdata.values_sql(refdata.valences(), 'v', 'symbol, v')} GROUP BY symbol")
+@query(f"SELECT symbol, count(*) AS n, sum(p_size * v)::BIGINT AS charge, min(v) AS lowest, max(v) AS highest FROM {refdata.picked_sql(refdata.valences(), 'symbol, v', 'part', 'p_partkey')} GROUP BY symbol")
 def valence_table(spark, sf_dir):
-    return refdata.table(spark, refdata.valences(), "symbol string, v int").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lowest"), F.max("v").alias("highest"))
+    """Parts as ions, with their charges."""
+    parts = refdata.picked(read(spark, sf_dir, "part").select("p_partkey", "p_size"), refdata.valences(), "symbol string, v int", "p_partkey")
+    return parts.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("p_size") * F.col("v")).alias("charge"), F.min("v").alias("lowest"), F.max("v").alias("highest"))
