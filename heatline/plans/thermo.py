@@ -216,12 +216,12 @@ def unit_conversion(spark, sf_dir):
     )
 
 
-@query(f"SELECT category, count(*) AS n, count(DISTINCT name) AS units, round(sum(l_quantity::DOUBLE * factor), 3) AS total FROM {refdata.picked_sql(refdata.units(), 'unit_id, name, symbol, dimension, category, factor, off, least', 'lineitem', 'l_partkey')} GROUP BY category")
+@query(f"SELECT category, count(*) AS n, count(DISTINCT name) AS units, min(l_quantity::DOUBLE * factor) AS least, max(l_quantity::DOUBLE * factor) AS largest FROM {refdata.picked_sql(refdata.units(), 'unit_id, name, symbol, dimension, category, factor, off, least', 'lineitem', 'l_partkey')} GROUP BY category")
 def units_by_category(spark, sf_dir):
-    """Quantities in all units, by the units' category, in its base unit."""
+    """Quantities in all units, by the units' category: how many, and the least and largest in its base unit."""
     items = refdata.picked(read(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity"), refdata.units(), "unit_id int, name string, symbol string, dimension string, category string, factor double, offset double, least double", "l_partkey")
-    total = F.round(F.sum(F.col("l_quantity").cast("double") * F.col("factor")), 3)
-    return items.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("units"), total.alias("total"))
+    base = F.col("l_quantity").cast("double") * F.col("factor")
+    return items.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("units"), F.min(base).alias("least"), F.max(base).alias("largest"))
 
 
 # ---- formulas ----
