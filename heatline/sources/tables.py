@@ -1,9 +1,7 @@
-"""Table sources: Parquet directories and relational databases."""
+"""Table sources: Parquet directories and the session's catalogue."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -11,17 +9,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def jdbc_options(dsn: str | None = None, *, partitions: int | None = None) -> dict[str, str]:
-    """Options of a PostgreSQL source: a DSN if given, else the usual PG* environment variables."""
-    host, port = os.environ.get("PGHOST", "localhost"), os.environ.get("PGPORT", "5432")
-    out = {"url": dsn or f"jdbc:postgresql://{host}:{port}/{os.environ.get('PGDATABASE', 'postgres')}", "driver": "org.postgresql.Driver"}
-    if not dsn:
-        out |= {k: os.environ[v] for k, v in (("user", "PGUSER"), ("password", "PGPASSWORD")) if v in os.environ}
-    if partitions:
-        out["numPartitions"] = str(partitions)
-    return out
-
-
-def jdbc(spark: SparkSession, table: str, **options: str) -> DataFrame:
-    """A database table; filters and column lists are pushed down by Spark."""
-    return spark.read.format("jdbc").options(dbtable=table, **{**jdbc_options(options.pop("dsn", None)), **options}).load()
+def exists(spark: SparkSession, name: str, *, database: bool = False) -> bool:
+    """Whether the session's catalogue has a table or view, or a database, of this name."""
+    return spark.catalog.databaseExists(name) if database else spark.catalog.tableExists(name)
