@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import calc
+from ..operators import balance
 from ..sources.tables import read
 from .base import query
 
@@ -34,6 +35,20 @@ def mass_balance(spark, sf_dir):
     )
 
 
+@query("""WITH s AS (SELECT l_orderkey AS k, l_linestatus = 'F' AS inlet, l_quantity AS m, round(l_discount, 2) AS fe, CASE WHEN l_linenumber < 3 THEN round(l_tax, 2) END AS o FROM lineitem),
+    t AS (SELECT k, coalesce(sum(m) FILTER (inlet), 0)::DOUBLE AS i, coalesce(sum(m) FILTER (NOT inlet), 0)::DOUBLE AS o, bool_or(inlet) AND bool_or(NOT inlet) AS ok,
+        greatest(abs(sum(CASE WHEN inlet THEN m ELSE -m END * fe)), abs(coalesce(sum(CASE WHEN inlet THEN m ELSE -m END * o), 0))) AS r FROM s GROUP BY 1)
+    SELECT k AS l_orderkey, CASE WHEN ok THEN round(i, 4) END AS total_input_mass, CASE WHEN ok THEN round(o, 4) END AS total_output_mass,
+        CASE WHEN ok THEN round(1 - abs(i - o) / CASE WHEN i = 0 THEN 1 ELSE i END, 6) END AS mass_closure_rate, CASE WHEN ok THEN round(r, 6) END AS max_element_residual,
+        CASE WHEN ok THEN r <= 0.5005 END AS passed, CASE WHEN NOT ok THEN 'INVALID_INPUT' END AS error FROM t""")
+def balance_checks(spark, sf_dir):
+    """Closure, largest residual and verdict of every order's streams; the second element stands in two of them at most."""
+    oxygen = F.map_filter(F.create_map(F.lit("Fe"), F.round("l_discount", 2), F.lit("O"), F.when(F.col("l_linenumber") < 3, F.round("l_tax", 2))), lambda _, v: v.isNotNull())
+    side = F.when(F.col("l_linestatus") == "F", balance.INPUT).otherwise(balance.OUTPUT)
+    streams = read(spark, sf_dir, "lineitem").select("l_orderkey", side.alias("side"), F.col("l_quantity").alias("mass"), oxygen.alias("elements"))
+    return balance.balance_checks(streams, "l_orderkey", 0.5005)
+
+
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity AS c0, l_discount * 100 AS c1, 20 + l_tax * 500 AS c2 FROM lineitem)
     SELECT l_orderkey, l_linenumber, CASE WHEN c0 BETWEEN least(c1, c2) AND greatest(c1, c2) AND abs(c2 - c1) >= 1e-12 THEN round((c0 - c1) / (c2 - c1), 6) END AS f2,
         CASE WHEN c0 < least(c1, c2) OR c0 > greatest(c1, c2) THEN 'OUT_OF_DOMAIN' WHEN abs(c2 - c1) < 1e-12 THEN 'INVALID_INPUT' END AS error FROM x""")

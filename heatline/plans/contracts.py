@@ -200,21 +200,32 @@ def annotator_disagreements(spark, sf_dir):
     return found.select("c_custkey", F.array_join("core_fields", ",").alias("core_fields"), F.array_join("set_fields", ",").alias("set_fields"))
 
 
-_FLAGS = ["path_compliant", "decision_right", "semantic", "numeric_right"]
-_RUNS = """r AS (SELECT l_linestatus AS mode, l_tax > 0.01 AS completed, CASE WHEN l_linenumber < 7 THEN l_quantity > 10 END AS semantic, l_discount > 0.03 AS path_compliant, l_quantity > 5 AS decision_right, CASE WHEN l_returnflag = 'N' THEN l_quantity > 40 END AS numeric_right,
-    (l_linenumber % 3) / 2.0 AS sequence_recall, l_linenumber % 4 AS calls, (l_linenumber % 4 > 1)::INT AS ineffective, (l_linenumber % 4 > 2)::INT AS unsuccessful, (l_suppkey % 2 * (l_linenumber % 4))::INT AS unnecessary, 0 AS duplicate,
-    l_partkey % 6 AS candidates, l_partkey % 6 = 5 AS fallback, l_partkey AS tokens, l_quantity AS latency FROM lineitem)"""
+#: Experiments from line items, written once for both engines; null where a metric doesn't apply.
+_RUN = {
+    "mode": "l_linestatus",
+    "completed": "l_tax > 0.01",
+    "sequence_recall": "(l_linenumber % 3) / 2.0",
+    "calls": "l_linenumber % 4",
+    "ineffective": "CAST(l_linenumber % 4 > 1 AS INT)",
+    "unsuccessful": "CAST(l_linenumber % 4 > 2 AS INT)",
+    "unnecessary": "(l_suppkey % 2) * (l_linenumber % 4)",
+    "duplicate": "CAST(l_linenumber = 7 AS INT)",
+    "candidates": "CASE WHEN l_partkey % 7 < 6 THEN l_partkey % 6 END",
+    "fallback": "CASE WHEN l_partkey % 5 < 4 THEN l_partkey % 6 = 5 END",
+    "tokens": "CASE WHEN l_suppkey % 3 < 2 THEN l_partkey END",
+    "latency": "l_quantity",
+} | {m: f"CASE WHEN l_linenumber <> {i % 7 + 1} THEN l_quantity > {3 * i + 5} END" for i, m in enumerate(contracts.METRICS)}
+_RUNS = "r AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _RUN.items()) + " FROM lineitem)"
 _PER_CALL = ", ".join(f"CASE WHEN sum(calls) > 0 THEN round(sum({c}) / sum(calls), 4) ELSE 0 END AS {c}_rate" for c in ("ineffective", "unsuccessful", "unnecessary", "duplicate"))
 
 
-@query(f"""WITH {_RUNS} SELECT mode, count(*) AS experiment_count, count(*) FILTER (completed) AS completed_count, count(*) FILTER (NOT completed) AS failed_count, round(avg(completed::INT), 4) AS completion_rate, count(*) FILTER (semantic IS NULL) AS manual_count,
-    {', '.join(f'round(avg({f}::INT), 4) AS {f}_rate' for f in _FLAGS)}, round(avg(sequence_recall), 4) AS average_sequence_recall, round(sum(calls) / count(*), 4) AS average_calls, {_PER_CALL},
-    round(avg(candidates), 4) AS average_candidates, round(avg(fallback::INT), 4) AS fallback_rate, round(avg((candidates = 0)::INT), 4) AS empty_rate, sum(tokens)::BIGINT AS total_tokens, round(avg(latency), 3) AS average_latency FROM r GROUP BY 1""")
+@query(f"""WITH {_RUNS} SELECT mode, count(*) AS experiment_count, count(*) FILTER (completed) AS completed_count, count(*) FILTER (NOT completed) AS failed_count,
+    round(avg(completed::INT), 4) AS completion_rate, count(semantic_case_passed) AS scored_count, count(*) FILTER (semantic_case_passed IS NULL) AS manual_count,
+    {', '.join(f'round(avg({m}::INT), 4) AS {m}_rate' for m in contracts.METRICS)},
+    round(avg(sequence_recall), 4) AS average_sequence_recall, round(sum(calls) / count(*), 4) AS average_calls, {_PER_CALL},
+    round(avg(coalesce(candidates, 0)), 4) AS average_candidates, round(avg(coalesce(fallback, false)::INT), 4) AS fallback_rate, round(avg((coalesce(candidates, 0) = 0)::INT), 4) AS empty_rate,
+    coalesce(sum(tokens), 0)::BIGINT AS total_tokens, round(avg(latency), 3) AS average_latency FROM r GROUP BY 1""")
 def run_aggregate(spark, sf_dir):
-    n, q, p = F.col("l_linenumber"), F.col("l_quantity"), F.col("l_partkey")
-    runs = read(spark, sf_dir, "lineitem").select(
-        F.col("l_linestatus").alias("mode"), (F.col("l_tax") > 0.01).alias("completed"), F.when(n < 7, q > 10).alias("semantic"), (F.col("l_discount") > 0.03).alias("path_compliant"), (q > 5).alias("decision_right"),
-        F.when(F.col("l_returnflag") == "N", q > 40).alias("numeric_right"), (n % 3 / 2).alias("sequence_recall"), (n % 4).alias("calls"), (n % 4 > 1).cast("int").alias("ineffective"), (n % 4 > 2).cast("int").alias("unsuccessful"),
-        (F.col("l_suppkey") % 2 * (n % 4)).alias("unnecessary"), F.lit(0).alias("duplicate"), (p % 6).alias("candidates"), (p % 6 == 5).alias("fallback"), p.alias("tokens"), q.alias("latency"),
-    )
-    return runs.groupBy("mode").agg(*contracts.run_aggregate(_FLAGS))
+    """All rates of recorded experiments by mode."""
+    runs = read(spark, sf_dir, "lineitem").select(*[F.expr(e).alias(n) for n, e in _RUN.items()])
+    return runs.groupBy("mode").agg(*contracts.run_aggregate())

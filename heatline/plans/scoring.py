@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import calc, refdata, text
-from ..operators import retrieval, scoring, validation
+from ..operators import documents, retrieval, scoring, usage, validation
 from ..operators import relational as rel
 from ..sources.tables import read
 from .base import query
@@ -201,6 +201,24 @@ def token_usage(spark, sf_dir):
     return e.groupBy("user_id", F.col("event_type").alias("name")).agg(F.sum("tokens").alias("tokens"))
 
 
+#: Usage of each round: whole numbers, numbers with a fraction, a field of mixed kinds, nested values, null and booleans; some rounds have none.
+_USAGE = """CASE WHEN event_id % 17 = 3 THEN NULL WHEN event_id % 17 = 4 THEN '[1,2]' WHEN event_id % 17 = 5 THEN 'no json' WHEN event_id % 17 = 6 THEN '{}' ELSE
+    '{"total":' || CAST(event_id AS VARCHAR(20)) || ',"seconds":' || CAST(event_id % 8 AS VARCHAR(20)) || '.5,"cached":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END
+    || ',"tier":"' || event_type || '","details":' || props || ',"mixed":' || CASE event_id % 3 WHEN 0 THEN '"unknown"' WHEN 1 THEN '7' ELSE 'null' END
+    || CASE WHEN event_id % 5 = 0 THEN ',"rare":null}' ELSE '}' END END"""
+
+
+@query(f"""WITH d AS (SELECT user_id, ts, event_id, {_USAGE} AS doc FROM events), o AS (SELECT * FROM d WHERE json_valid(doc) AND json_type(doc) = 'OBJECT'),
+    f AS (SELECT user_id, ts, event_id, e.key AS name, CASE e.type WHEN 'BOOLEAN' THEN (e.value::VARCHAR = 'true')::INT::DOUBLE WHEN 'UBIGINT' THEN e.value::VARCHAR::DOUBLE WHEN 'BIGINT' THEN e.value::VARCHAR::DOUBLE WHEN 'DOUBLE' THEN e.value::VARCHAR::DOUBLE END AS x,
+        e.type = 'DOUBLE' AS fraction, e.value::VARCHAR AS v FROM o, json_each(o.doc) e)
+    SELECT user_id, name, sum(x) AS total, CASE WHEN count(x) > 0 THEN NOT bool_or(fraction) END AS exact, CASE WHEN count(x) = 0 THEN arg_min(v, (ts, event_id)) END AS first FROM f GROUP BY 1, 2""")
+def merged_usage(spark, sf_dir):
+    """The usage of every user's rounds: numbers added up, of other values the first."""
+    rounds = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", documents.document(F.expr(_USAGE)).alias("doc"))
+    fields = usage.merged_fields(rounds, "user_id", ["ts", "event_id"], "doc")
+    return fields.select("user_id", "name", F.col("total").cast("double").alias("total"), (~F.contains("total", F.lit("."))).alias("exact"), F.to_json("first").alias("first"))
+
+
 # ---- validation ----
 
 _V = "(SELECT event_id, user_id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 7 = 0 THEN '' WHEN event_id % 5 = 0 THEN 'abc' WHEN event_id % 13 = 0 THEN 'inf' ELSE round(value, 2)::VARCHAR END AS v FROM events)"
