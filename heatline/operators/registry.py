@@ -61,6 +61,11 @@ FIELDS = [
 ]
 
 
+#: Invalid inputs made for each required field, and what a reviewer fills in.
+INVALID_INPUTS = 5
+REVIEW_COLUMNS = ("human_decision", "human_reviewer", "reviewed_at", "human_note")
+
+
 def field_rows() -> list[tuple]:
     return [(i, *r[:5], *(None if x is None else float(x) for x in r[5:])) for i, r in enumerate(FIELDS)]
 
@@ -78,6 +83,23 @@ def tool_schemas(spec: DataFrame) -> DataFrame:
     return folded.select(F.col("model_code").alias("name"), F.struct(F.lit("object").alias("type"), properties.alias("properties"), required.alias("required")).alias("parameters"))
 
 
+def review_rows(cards: DataFrame, cases: DataFrame, findings: DataFrame) -> DataFrame:
+    """Every card with its number of cases, of required fields and of invalid inputs to be made, its finding, and columns to be filled in.
+
+    ``cards``: model_code, required (array of field names); ``cases``: model_code; ``findings``: model_code, finding.
+    A card without a case has 0.  ``problem`` names what hinders a review: no finding, or more than one (the least is shown).
+    """
+    counts = cases.groupBy(F.col("model_code").alias("_code")).agg(F.count(F.lit(1)).alias("_cases"))
+    told = findings.groupBy(F.col("model_code").alias("_told")).agg(F.min("finding").alias("finding"), F.count(F.lit(1)).alias("_findings"))
+    rows = cards.join(counts, F.col("model_code") == F.col("_code"), "left").join(told, F.col("model_code") == F.col("_told"), "left")
+    required = F.coalesce(F.array_size("required"), F.lit(0))
+    problem = F.when(F.col("_findings").isNull(), "no finding").when(F.col("_findings") > 1, "more than one finding")
+    return rows.select(
+        "model_code", F.coalesce("_cases", F.lit(0)).alias("golden_case_count"), required.alias("required_field_count"), (required * INVALID_INPUTS).alias("generated_invalid_input_case_count"), "finding",
+        problem.alias("problem"), *[F.lit(None).cast("string").alias(c) for c in REVIEW_COLUMNS],
+    )
+
+
 def validate(requests: DataFrame) -> DataFrame:
     """(request_id, rule) for everything wrong with the requests; unknown models have one rule."""
     spec = fields(requests.sparkSession)

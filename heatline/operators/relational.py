@@ -53,6 +53,18 @@ def page_totals(df: DataFrame, size: int) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total")).withColumn("total_pages", F.ceil(F.col("total") / size))
 
 
+def listed(df: DataFrame, columns: list[str], order: list[str], **equal: object) -> DataFrame:
+    """Columns of the rows in order; a condition that is None or an empty text doesn't count."""
+    given = (F.col(c) == v for c, v in equal.items() if v is not None and v != "")
+    return df.filter(all_of(given)).select(*columns).orderBy(*order)
+
+
+def reshaped(df: DataFrame, names: dict[str, str], zero: tuple[str, ...] = ()) -> DataFrame:
+    """Columns under the names that records have outside; of those in ``zero`` null becomes 0.0.  Columns that aren't there are null."""
+    have = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    return df.select(*[(F.coalesce(have(old).cast("double"), F.lit(0.0)) if old in zero else have(old)).alias(new) for old, new in names.items()])
+
+
 # ---- writes, as plans ----
 
 

@@ -12,7 +12,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .relational import reshaped
+
 FIXED = {"execution": ("input_json", "boundary_check", "started_at"), "trace": ("user_query", "mode", "created_at"), "run": ("mode", "created_at")}
+#: The columns of stored executions, and what they are called in records.
+RECORD = {
+    "execution_id": "execution_id", "trace_id": "trace_id", "model_code": "model_code", "model_version": "model_version", "input_json": "input", "actual_data_records": "actual_data_records",
+    "boundary_check": "boundary_check", "output_json": "output", "status": "status", "error_code": "error_code", "error_message": "error", "runtime_ms": "runtime_ms",
+    "user_or_agent": "user_or_agent", "started_at": "started_at", "completed_at": "completed_at",
+}
 KEYS = {"execution": "execution_id", "trace": "trace_id", "run": "experiment_id"}
 
 
@@ -45,6 +53,10 @@ class TraceStore:
     def get(self, kind: str, key: str) -> DataFrame:
         return self.all(kind).filter(F.col(KEYS[kind]) == key)
 
+    def records(self) -> DataFrame:
+        """Executions as records: outside names, a missing time of running as 0.0."""
+        return reshaped(self.all("execution"), RECORD, zero=("runtime_ms",))
+
     def experiments(self) -> DataFrame:
         """Runs joined with their traces."""
         traces = self.all("trace")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsontext, refdata
 from ..operators import glmm, registry
+from ..operators import relational as rel
 from ..sources import html
 from ..sources.tables import read
 from .base import query
@@ -54,18 +55,52 @@ def model_cards(spark, sf_dir):
     return asked.groupBy("model_code").agg(F.count(F.lit(1)).alias("requests")).join(F.broadcast(cards), "model_code").select("model_code", "fields", "required", "requests")
 
 
-@query("""SELECT p_partkey AS page_id, r AS range_no, CASE WHEN r = 1 THEN 298.0 ELSE 1000.0 + p_size END AS t_min, CASE WHEN r = 1 THEN 1000.0 + p_size ELSE 6000.0 END AS t_max, (p_size + r)::DOUBLE AS a, -p_size / 10.0 AS h
-    FROM part, (VALUES (1), (2)) v(r) WHERE p_partkey % 3 <> 0""")
-def html_coefficients(spark, sf_dir):
-    """Pages are made from parts: two temperature ranges each, every third page incomplete."""
+def _pages(spark, sf_dir):
+    """Pages made from parts: two temperature ranges each, every third page incomplete."""
     size = F.col("p_size")
     row = lambda label, *cells: F.concat(F.lit(f"<tr><th>{label}</th><td>"), *[x for i, c in enumerate(cells) for x in ([F.lit("</td><td>")] * (i > 0) + [c.cast("string")])], F.lit("</td></tr>"))
     head = F.concat(F.lit("<table class='d'><tr><th>Temperature (K)</th><td>298. to "), (1000 + size).cast("string"), F.lit("</td><td>"), (1000 + size).cast("string"), F.lit(" to 6,000.</td></tr>"))
     body = [row("A", size + 1, size + 2), *[row(x, F.lit("1.5"), F.lit("2×103")) for x in "BCDEFG"], F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(row("H", -size / 10, F.concat(F.lit("−"), (size / 10).cast("string"))))]
-    pages = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("<html><table><tr><td>x</td></tr></table>"), head, *body, F.lit("</table></html>")).alias("html"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("<html><table><tr><td>x</td></tr></table>"), head, *body, F.lit("</table></html>")).alias("html"))
+
+
+_CARDS = refdata.values_sql(_FIELD_ROWS, "f", "code, required")
+
+
+@query(f"""WITH c AS (SELECT code, count(*) FILTER (required) AS required FROM {_CARDS} GROUP BY 1),
+    k AS (SELECT model_code, count(*) AS n FROM {refdata.picked_sql(_MODEL_CODES, 'model_code', 'orders', 'o_orderkey')} WHERE o_orderkey % 17 < 12 GROUP BY 1),
+    f AS (SELECT model_code, min(p_name) AS finding, count(*) AS n FROM {refdata.picked_sql(_MODEL_CODES, 'model_code', 'part', 'p_partkey')} WHERE p_partkey % 17 < 9 OR p_partkey < 17 GROUP BY 1)
+    SELECT code AS model_code, coalesce(k.n, 0) AS golden_case_count, required::INT AS required_field_count, (5 * required)::INT AS generated_invalid_input_case_count, finding,
+        CASE WHEN f.n IS NULL THEN 'no finding' WHEN f.n > 1 THEN 'more than one finding' END AS problem, NULL::VARCHAR AS human_decision
+    FROM c LEFT JOIN k ON code = k.model_code LEFT JOIN f ON code = f.model_code""")
+def tool_reviews(spark, sf_dir):
+    """What a reviewer of each card sees: its cases among orders, its findings among parts."""
+    required = F.array_compact(F.collect_list(F.when(F.col("required"), F.col("field"))))
+    cards = registry.fields(spark).groupBy("model_code").agg(required.alias("required"))
+    pick = lambda df, key: refdata.picked(df, _MODEL_CODES, "model_code string", key)
+    cases = pick(read(spark, sf_dir, "orders").filter("o_orderkey % 17 < 12").select("o_orderkey"), "o_orderkey")
+    findings = pick(read(spark, sf_dir, "part").filter("p_partkey % 17 < 9 OR p_partkey < 17").select("p_partkey", F.col("p_name").alias("finding")), "p_partkey")
+    return registry.review_rows(cards, cases, findings).drop(*registry.REVIEW_COLUMNS[1:])
+
+
+@query("""SELECT p_partkey AS page_id, r AS range_no, CASE WHEN r = 1 THEN 298.0 ELSE 1000.0 + p_size END AS t_min, CASE WHEN r = 1 THEN 1000.0 + p_size ELSE 6000.0 END AS t_max, (p_size + r)::DOUBLE AS a, -p_size / 10.0 AS h
+    FROM part, (VALUES (1), (2)) v(r) WHERE p_partkey % 3 <> 0""")
+def html_coefficients(spark, sf_dir):
+    """The ranges of all complete pages."""
+    pages = _pages(spark, sf_dir)
     return html.shomate_rows(pages).select("page_id", "range_no", "t_min", "t_max", F.col("A").alias("a"), F.col("H").alias("h"))
 
 
+@query("""SELECT CASE WHEN p_size % 4 = 0 THEN p_brand ELSE p_brand || '(s)' END AS species, p_partkey AS id, CASE WHEN p_size > 30 THEN 1000.0 + p_size ELSE 298.0 END AS t_min, CASE WHEN p_size > 30 THEN 6000.0 ELSE 1000.0 + p_size END AS t_max,
+        (p_size + CASE WHEN p_size > 30 THEN 2 ELSE 1 END)::DOUBLE AS a FROM part WHERE p_partkey % 3 <> 0""")
+def correlation_list(spark, sf_dir):
+    """The range that is kept of each page, the second where the first one's H is out of proportion, as a list by species and temperature."""
+    kept = html.chosen_range(html.shomate_rows(_pages(spark, sf_dir)), "page_id", limit=3.0)
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), "p_brand", F.when(F.col("p_size") % 4 != 0, "s").alias("phase"))
+    rows = kept.join(parts, "page_id").select(html.species_key(F.col("p_brand"), F.col("phase")).alias("species"), F.col("page_id").alias("id"), "t_min", "t_max", F.col("A").alias("a"))
+    return rel.listed(rows, ["species", "id", "t_min", "t_max", "a"], ["species", "t_min", "id"], species="")
+
+
 @query("""SELECT status, count(*) AS n FROM (SELECT CASE event_id % 8 WHEN 0 THEN 'direct' WHEN 1 THEN 'fenced' WHEN 2 THEN 'embedded' WHEN 3 THEN 'ambiguous' WHEN 5 THEN 'embedded' WHEN 6 THEN 'fenced' WHEN 7 THEN 'ambiguous' ELSE 'invalid' END AS status FROM events) GROUP BY 1""")
 def json_extraction(spark, sf_dir):
     p, i = F.col("props"), F.col("event_id") % 8

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calc, formula, refdata
-from ..operators import lookup
+from ..operators import evaluation, lookup
 from ..sources.tables import read
 from .base import query
 
@@ -136,6 +136,44 @@ def ordered_fallback(spark, sf_dir):
     return rows.select("c_custkey", value.alias("value"), source.alias("source"))
 
 
+_EVALUATED = f"""s AS (SELECT *, split_part(species, '(', 1) AS clean, CASE split_part(species, '(', 2)[1] WHEN 's' THEN 'solid' WHEN 'g' THEN 'gas' ELSE 'liquid' END AS phase FROM {_SHOMATE}),
+    r AS MATERIALIZED (SELECT row_number() OVER () AS rid, clean, phase, {_T} AS t_k,
+        CASE l_linenumber % 4 WHEN 1 THEN ['gibbs'] WHEN 2 THEN ['cp', 'gibbs'] WHEN 3 THEN ['enthalpy'] ELSE ['cp', 'entropy', 'enthalpy'] END AS asked FROM lineitem JOIN s ON sid = l_partkey % 36),
+    q AS (SELECT DISTINCT clean, phase, t_k FROM r),
+    k AS (SELECT q.*, s.* EXCLUDE (clean, phase), t_k / 1000.0 AS t, row_number() OVER (PARTITION BY q.clean, q.phase, t_k ORDER BY CASE WHEN s.phase = q.phase THEN 0 WHEN s.phase = 'solid' THEN 1 WHEN s.phase = 'gas' THEN 2 ELSE 3 END, sid) AS n
+        FROM q JOIN s ON s.clean = q.clean AND t_k BETWEEN t_min AND t_max WHERE sid < 12 AND sid % 5 <> 4),
+    one AS (SELECT clean, phase, t_k, unnest([{{'p': 'cp', 'v': {_CP}}}, {{'p': 'entropy', 'v': {_S}}}, {{'p': 'enthalpy', 'v': {_H}}}, {{'p': 'gibbs', 'v': {_H} - t_k * {_S} / 1000}}]) AS x FROM k WHERE n = 1),
+    p AS (SELECT p_partkey AS id, clean AS name, ['cp', 'entropy', 'enthalpy', 'gibbs', 'other'][p_partkey % 5 + 1] AS property, 300 + 20 * p_size + p_partkey % 3 * 0.4e0 AS pt, p_retailprice AS v FROM part JOIN s ON sid = 12 + p_partkey % 12),
+    two AS (SELECT clean, phase, t_k, property, arg_min(v, (abs(pt - t_k), id)) AS v FROM (SELECT q.* FROM q ANTI JOIN one USING (clean, phase, t_k)) JOIN p ON starts_with(name, clean) AND abs(pt - t_k) < 1
+        WHERE property <> 'other' GROUP BY ALL),
+    three AS (SELECT clean, q.phase, t_k, unnest([{{'p': 'cp', 'v': {_CP}}}, {{'p': 'entropy', 'v': {_S}}}, {{'p': 'enthalpy', 'v': {_H}}}]) AS x
+        FROM (SELECT *, t_k / 1000.0 AS t FROM q) q JOIN (SELECT * EXCLUDE (clean, phase) FROM s) s ON species = clean || '(' || phase[1] || ')' AND t_k BETWEEN t_min AND t_max),
+    a AS (SELECT rid, 'correlation' AS source, x.p AS property, x.v AS v, list_contains(asked, x.p) AS kept FROM r JOIN one USING (clean, phase, t_k)),
+    b AS (SELECT rid, 'points' AS source, property, v FROM r JOIN two USING (clean, phase, t_k) WHERE list_contains(asked, property)),
+    c AS (SELECT rid, 'builtin' AS source, x.p AS property, x.v AS v FROM r JOIN three USING (clean, phase, t_k) ANTI JOIN (SELECT rid FROM a UNION SELECT rid FROM b) USING (rid)),
+    e AS (SELECT rid, source, property, v FROM a WHERE kept UNION ALL FROM b UNION ALL FROM c)"""
+
+
+@query(f"""WITH {_EVALUATED} SELECT source, property, count(*) AS n, round(avg(v), 6) AS mean FROM (SELECT rid FROM r) LEFT JOIN e USING (rid) GROUP BY 1, 2""")
+def evaluated_properties(spark, sf_dir):
+    """The properties asked for by line items: correlations of some species, points made from parts, built-in coefficients; or nothing."""
+    bare, letter = F.substring_index("species", "(", 1), F.substring(F.element_at(F.split("species", r"\("), 2), 1, 1)
+    phase = F.when(letter == "s", "solid").when(letter == "g", "gas").otherwise("liquid")
+    some = F.col("l_linenumber") % 4
+    asked = F.when(some == 1, F.array(F.lit("gibbs"))).when(some == 2, F.array(F.lit("cp"), F.lit("gibbs"))).when(some == 3, F.array(F.lit("enthalpy")))
+    requests = _requests(spark, sf_dir).select(bare.alias("species"), phase.alias("phase"), F.col("t_k").alias("temperature"), asked.alias("properties"))
+    built = lookup.shomate_table(spark)
+    correlations = built.filter("id < 12").select("id", bare.alias("species_id"), phase.alias("phase"), "t_min", "t_max", "p", "priority", (F.col("id") % 5 != 4).alias("is_active"))
+    names = built.select((F.col("id") - 12).alias("_slot"), bare.alias("species"))
+    code = F.element_at(F.array(*[F.lit(c) for c in evaluation.CODES.values()], F.lit("OTHER")), (F.col("p_partkey") % 5 + 1).cast("int"))
+    parts = read(spark, sf_dir, "part").withColumn("_slot", (F.col("p_partkey") % 12).cast("int")).join(names, "_slot")
+    t = 300 + 20 * F.col("p_size") + F.col("p_partkey") % 3 * F.lit(0.4)
+    points = parts.select(F.col("p_partkey").alias("id"), "species", code.alias("property_code"), t.alias("temperature"), F.col("p_retailprice").alias("value"))
+    rows = evaluation.evaluate(requests, correlations, points, built)
+    each = rows.select("source", F.explode_outer("results").alias("property", "value"))
+    return each.groupBy("source", "property").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
 _SPECIES_POINTS = [("C", -0.0, 5.74), ("O2", 0.0, 205.15), ("CO2", -393.52, 213.79), ("CO", -110.53, 197.66), ("FeO", -272.04, 60.75), ("Fe", 0.0, 27.32)]
 _STOICH = [(1, "C", -1.0), (1, "O2", -1.0), (1, "CO2", 1.0), (2, "C", -2.0), (2, "O2", -1.0), (2, "CO", 2.0), (3, "FeO", -1.0), (3, "C", -1.0), (3, "Fe", 1.0), (3, "CO", 1.0), (4, "Xx", -1.0), (4, "Fe", 1.0)]
 

@@ -57,6 +57,14 @@ def write_jsonl(df: DataFrame, path: str, run_id: str) -> None:
     df.withColumn("run_id", F.lit(run_id)).write.mode("errorifexists").json(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """Every row as an indented JSON document that ends with a line break; nulls are written, an existing path is an error.
+
+    A report of one row is one document.  The documents of more rows follow each other, as ``read_json`` reads them.
+    """
+    df.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).write.mode("errorifexists").text(path)
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """filename, bytes, sha256 of every file under ``path``; hashing is done where the files are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

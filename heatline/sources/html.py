@@ -20,6 +20,11 @@ def _number(text: Column) -> Column:
     return F.coalesce(F.regexp_replace(text, "[ ,]", "").try_cast("double"), F.lit(0.0))
 
 
+def species_key(formula: Column, phase: Column) -> Column:
+    """``formula(phase)``, or the formula alone where no phase is told."""
+    return F.when(F.coalesce(phase, F.lit("")) == "", formula).otherwise(F.concat(formula, F.lit("("), phase, F.lit(")")))
+
+
 def shomate_rows(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, table_no, range_no, t_min, t_max, A..H): one row per temperature column of each complete table.
 

@@ -5,6 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from heatline.operators.relational import listed
 from heatline.sources import database, tables
 
 
@@ -105,3 +106,12 @@ def test_options_come_from_a_dsn_or_the_environment():
     assert database.options(environment=env | {"DATABASE_URL": url}) == {"url": "jdbc:postgresql://h:7000/base", "driver": "org.postgresql.Driver", "user": "u", "password": "p@x", "sslmode": "prefer", "connectTimeout": "3"}
     assert database.options("host=h dbname='my base' user=u", environment=env)["url"] == "jdbc:postgresql://h:5432/my base"
     assert database.options("jdbc:derby:memory:x") == {"url": "jdbc:derby:memory:x"}
+
+
+def test_a_listing_of_sources_reads_its_columns_in_order(spark, source):
+    database.upsert(batch(spark, FIRST), "registry", ["dataset_id"], ["seq"], source)
+    rows = listed(database.read(spark, "registry", source).toDF("dataset_id", "name", "grade", "n", "v"), ["dataset_id", "name"], ["dataset_id"], grade="", name=None)
+    assert [r["dataset_id"] for r in rows.collect()] == ["a", "b", "c'\""]
+    graded = listed(database.read(spark, "registry", source), ["DATASET_ID"], ["DATASET_ID"], GRADE="A")
+    assert [r[0] for r in graded.collect()] == ["c'\""]
+    assert "EqualTo(GRADE,A)" in graded._jdf.queryExecution().executedPlan().toString()

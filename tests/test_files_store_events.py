@@ -1,11 +1,13 @@
 """File sources and sinks, the trace store and event streams, against results written out by hand."""
 
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from heatline.operators.store import ResilientStore, TraceStore
+from heatline.operators import registry
+from heatline.operators.store import RECORD, ResilientStore, TraceStore
 from heatline.sources import files
 from heatline.streaming import events
 
@@ -74,3 +76,33 @@ def test_streams_give_the_batch_answers(spark, tmp_path):
     assert rows(events.windowed_rates(df), "event_type", "n", "total") == [("a", 3, 5.5), ("b", 1, 4.0)]
     # 00:10 lies 40 minutes before 00:50, beyond the gap of half an hour.
     assert rows(events.sessions(df), "user_id", "n") == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_json_documents_are_indented_and_end_with_a_line_break(spark, tmp_path):
+    report = spark.createDataFrame([(1, None, [1, 2], {"a": "x"})], "n int, none string, list array<int>, map map<string,string>")
+    files.write_json(report, str(tmp_path / "one"))
+    written = "".join(p.read_text() for p in sorted((tmp_path / "one").glob("part-*")))
+    assert json.loads(written) == {"n": 1, "none": None, "list": [1, 2], "map": {"a": "x"}}
+    assert written.endswith("}\n") and '\n  "n"' in written
+    assert rows(files.read_json(spark, str(tmp_path / "one"), "n int, list array<int>"), "n", "list") == [(1, [1, 2])]
+    with pytest.raises(Exception, match="(?i)exists"):
+        files.write_json(report, str(tmp_path / "one"))
+
+
+def test_stored_executions_as_records(spark, tmp_path):
+    store = TraceStore(spark, str(tmp_path / "store"))
+    store.save("execution", spark.createDataFrame([("e1", "t1", "{}", None), ("e2", "t1", None, 2.5)], "execution_id string, trace_id string, input_json string, runtime_ms double").withColumns({"boundary_check": F.lit("ok"), "started_at": F.lit("now")}), 1)
+    found = store.records()
+    assert found.columns == list(RECORD.values())
+    assert rows(found, "execution_id", "input", "runtime_ms", "error") == [("e1", "{}", 0.0, None), ("e2", None, 2.5, None)]
+
+
+def test_reviews_of_cards(spark):
+    cards = spark.createDataFrame([("A", ["x", "y"]), ("B", []), ("C", None)], "model_code string, required array<string>")
+    cases = spark.createDataFrame([("A",), ("A",), ("Z",), (None,)], "model_code string")
+    findings = spark.createDataFrame([("A", "fine"), ("B", "later"), ("B", "first"), ("Z", "no card")], "model_code string, finding string")
+    got = registry.review_rows(cards, cases, findings)
+    assert rows(got, "model_code", "golden_case_count", "required_field_count", "generated_invalid_input_case_count", "finding", "problem") == [
+        ("A", 2, 2, 10, "fine", None), ("B", 0, 0, 0, "first", "more than one finding"), ("C", 0, 0, 0, None, "no finding"),
+    ]
+    assert all(r[c] is None for r in got.collect() for c in registry.REVIEW_COLUMNS)
