@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .documents import kind
-
 
 def _opened(df: DataFrame, columns: list[str], doc: str) -> DataFrame:
     """(columns, name, value): the fields of the documents that are objects; others have none."""
-    rows = df.filter(kind(F.col(doc)) == "object").select(*columns, F.col(doc).alias("_doc"))
+    rows = df.filter(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT"))).select(*columns, F.col(doc).alias("_doc"))
     return rows.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_doc").outer())).toDF(*columns, "_doc", "_pos", "name", "value").drop("_doc", "_pos")
 
 
@@ -24,11 +22,13 @@ def merged_fields(df: DataFrame, key: str, order: list[str], doc: str) -> DataFr
 
     One grouped pass with partial sums: a key may hold any number of rounds.
     """
-    fields = _opened(df, [key, *order], doc).withColumn("_kind", kind(F.col("value")))
-    value, kind_ = F.col("value"), F.col("_kind")
+    # The type is a column of its own, so that it is found once for a value.
+    fields = _opened(df, [key, *order], doc).withColumn("_type", F.schema_of_variant("value"))
+    value, type_ = F.col("value"), F.col("_type")
     truth = F.try_variant_get(value, "$", "boolean").cast("int")
-    whole = F.when(kind_ == "boolean", truth.cast("decimal(38,0)")).when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "bigint").cast("decimal(38,0)"))
-    number = F.when(kind_ == "boolean", truth.cast("double")).when(kind_ == "number", F.try_variant_get(value, "$", "double"))
+    whole = F.when(type_ == "BOOLEAN", truth.cast("decimal(38,0)")).when(type_ == "BIGINT", F.try_variant_get(value, "$", "bigint").cast("decimal(38,0)"))
+    numeric = type_.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(type_, F.lit("DECIMAL"))
+    number = F.when(type_ == "BOOLEAN", truth.cast("double")).when(numeric, F.try_variant_get(value, "$", "double"))
     place = F.when(number.isNull(), F.struct(*[F.col(c) for c in order], F.to_json(value)))
     sums = fields.groupBy(key, "name").agg(
         F.count(number).alias("_numbers"), F.count(whole).alias("_whole"), F.sum(whole).alias("_exact"), F.sum(number).alias("_double"), F.min_by(value, place).alias("_first")
