@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import balance, base, contracts, documents, inference, relational, routing, scoring, service, stats, thermo, trials  # noqa: F401
+from .plans import balance, base, contracts, documents, gates, inference, relational, routing, scoring, service, stats, thermo, trials  # noqa: F401
 
 
 def queries() -> dict[str, base.Plan]:

@@ -114,3 +114,21 @@ def nested_sets(df: DataFrame, group: list[str], order: str, members: str) -> Da
     before = F.lag(members).over(w)
     holds = (F.size(F.array_except(before, F.col(members))) == 0) & (F.size(members) > F.size(before))
     return df.withColumn("strictly_nested", F.when(before.isNull(), F.lit(None).cast("boolean")).otherwise(holds))
+
+
+def form_parameters(values: Column, numeric: Column) -> Column:
+    """map<string,variant> of what a form was filled with: empty and null fields are dropped, fields in ``numeric`` read as numbers.
+
+    A number is what a text starts with ("12 mm" is 12); a numeric field without any holds null.
+    """
+    filled = F.map_filter(values, lambda _, v: F.coalesce(v, F.lit("")) != "")
+    number = lambda v: F.regexp_extract(v, "^\\s*([+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?)", 1).try_cast("double")
+    read = lambda k, v: F.when(F.array_contains(numeric, k), F.coalesce(number(v).cast("variant"), F.parse_json(F.lit("null")))).otherwise(v.cast("variant"))
+    return F.transform_values(filled, read)
+
+
+def eligible(cases: DataFrame, tool: str, *known: DataFrame) -> DataFrame:
+    """Cases whose tool stands in every one of the tables ``known``; repeats there don't matter."""
+    for table in known:
+        cases = cases.join(table.select(tool), tool, "left_semi")
+    return cases

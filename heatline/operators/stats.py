@@ -13,6 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 POOL_REPEATS = ("A", "B", "C", "D", "E")
+#: The columns that mixed models take, in their order.
+MODEL_COLUMNS = (
+    "task_id", "selection_correct", "method", "minimal_pair_group", "target_tool_family", "pool_family_id", "pool_repeat", "model_run_repeat", "difficulty_score",
+    "schema_token_count", "tool_pool_size", "near_neighbor_type", "near_neighbor_count",
+)
 
 
 def selection_correct(status: Column, execution: Column, selected: Column, acceptable: Column) -> Column:
@@ -57,6 +62,36 @@ def pool_means(rows: DataFrame, task: str, run: str, pool: str, effect: str, ext
     )
 
 
+def incomplete_repeats(rows: DataFrame, task: str, run: str, pool: str) -> DataFrame:
+    """(task, run, missing, surplus): the gate before means are taken; no rows, no violations."""
+    wanted = F.array(*[F.lit(x) for x in POOL_REPEATS])
+    seen = rows.groupBy(task, run).agg(F.array_sort(F.collect_set(pool)).alias("_seen"))
+    out = seen.select(task, run, F.array_except(wanted, "_seen").alias("missing"), F.array_except("_seen", wanted).alias("surplus"))
+    return out.filter((F.size("missing") > 0) | (F.size("surplus") > 0))
+
+
+def missingness_rows(records: DataFrame, pairs: dict[tuple[str, str], DataFrame]) -> DataFrame:
+    """(hypothesis, category, count, detail): how requests ended, and one row for every missing or repeated entry.
+
+    ``records`` has request_status and execution_status; ``pairs`` names entries by (hypothesis,
+    category).  The detail is JSON of all of an entry's columns, nulls among them.
+    """
+    keep = {"ignoreNullFields": "false"}
+    ended = records.groupBy("request_status", "execution_status").agg(F.count(F.lit(1)).alias("count"))
+    detail = F.to_json(F.struct("request_status", "execution_status"), keep)
+    out = ended.select(F.lit("ALL").alias("hypothesis"), F.lit("execution_status").alias("category"), "count", detail.alias("detail"))
+    for (hypothesis, category), entries in pairs.items():
+        row = F.to_json(F.struct(*[F.col(c) for c in entries.columns]), keep)
+        out = out.unionAll(entries.select(F.lit(hypothesis), F.lit(category), F.lit(1).cast("long"), row))
+    return out
+
+
+def model_rows(records: DataFrame, outcome: str = "selection_correct") -> DataFrame:
+    """The columns that a mixed model takes, of records whose outcome was observed; those without a group are their own."""
+    group = cluster_id(F.col("minimal_pair_group"), F.col("task_id")).alias("minimal_pair_group")
+    return records.filter(F.col(outcome).isNotNull()).select(*[group if c == "minimal_pair_group" else F.col(c) for c in MODEL_COLUMNS])
+
+
 def run_means(means: DataFrame, run: str) -> DataFrame:
     return means.groupBy(run).agg(F.count(F.lit(1)).alias("task_count"), F.avg("mean_effect").alias("run_effect"))
 

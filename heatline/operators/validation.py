@@ -69,6 +69,31 @@ def allowed_actions(risk: Column, answerable: Column, evidence: Column, capabili
     )
 
 
+def action_policy(labels: DataFrame, overrides: DataFrame, task: str) -> DataFrame:
+    """(task, actions, defaults, outcome): whether each label's actions are what the policy says.
+
+    ``labels`` has the five statuses and ``allowed_actions``; ``overrides`` (task, default_actions,
+    accepted_actions) lists exceptions.  An exception holds only if both of its sets are the
+    present ones, so it lapses when the policy changes; of several for a task any may hold.  Outcomes: default, override, differs,
+    no actions, unknown action, no default.  Order and repeats of actions don't count.
+    """
+    known = F.array(*map(F.lit, ("answer", "call", "clarify", "refuse", "escalate")))
+    bag = lambda c: F.array_sort(F.array_distinct(c))
+    own = bag(F.coalesce(F.col("allowed_actions"), F.array().cast("array<string>")))
+    statuses = ("risk_status", "answerability", "evidence_requirement", "capability_status", "information_status")
+    rows = labels.select(task, own.alias("actions"), bag(allowed_actions(*map(F.col, statuses))).alias("defaults"))
+    listed = overrides.select(F.col(task), bag("default_actions").alias("defaults"), bag("accepted_actions").alias("actions"), F.lit(True).alias("_listed")).distinct()
+    outcome = (
+        F.when(F.size("actions") == 0, "no actions")
+        .when(F.size(F.array_except("actions", known)) > 0, "unknown action")
+        .when(F.col("defaults").isNull(), "no default")
+        .when(F.col("actions") == F.col("defaults"), "default")
+        .when(F.col("_listed"), "override")
+        .otherwise("differs")
+    )
+    return rows.join(listed, [task, "defaults", "actions"], "left").select(task, "actions", "defaults", outcome.alias("outcome"))
+
+
 def account_rules(name: Column, mail: Column, secret_length: Column) -> dict[str, Column]:
     return {
         "missing": required(name) | required(mail) | secret_length.isNull(),
