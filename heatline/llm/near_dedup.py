@@ -12,7 +12,7 @@
    are in several components then compare signatures across components, in blocks of
    bounded size, which gives the documents still to be compared with some larger
    component.  Each is held against the members of that component, block by block,
-   until a link is confirmed; the links join and components are found once more.
+   until a link is confirmed; components are found once more, with components as nodes.
 
 Pairs inside a component need no look and no pair is written for a member of a
 component, so a group of n near copies costs about n rows, yet every candidate link
@@ -93,8 +93,8 @@ def _signature_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def _similar_signatures(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y, n) whose sizes and signatures allow a link."""
+def _similar_signatures(held: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y, n) of a document and one of its hubs, x < y, whose sizes and signatures allow a link; ``held`` has each document's hubs."""
     least = _least_matches(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,10 +103,11 @@ def _similar_signatures(pairs: DataFrame, classes: DataFrame, percent: int) -> D
                 alike = (_signature_rows(b.column(2)) == _signature_rows(b.column(3))).sum(1) >= least
                 yield b.select([0, 1, 4]).filter(pa.array(alike))
 
-    own = classes.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("signature").alias("sx"))
-    other = classes.select(F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("signature").alias("sy"))
-    sized = pairs.join(own, "x").join(other, "y").filter(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-    return sized.select("x", "y", "sx", "sy", "n").mapInArrow(run, PAIR + ", n long")
+    own = held.select("doc_id", F.col("n_shingles").alias("nx"), F.col("signature").alias("sx"), "n", F.explode("hubs").alias("hub")).filter("doc_id <> hub")
+    other = classes.select(F.col("doc_id").alias("hub"), F.col("n_shingles").alias("ny"), F.col("signature").alias("sy"))
+    sized = own.join(other, "hub").filter(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    alike = sized.select(F.least("doc_id", "hub").alias("x"), F.greatest("doc_id", "hub").alias("y"), "sx", "sy", "n").mapInArrow(run, PAIR + ", n long")
+    return alike.groupBy("x", "y").agg(F.max("n").alias("n"))  # two hubs may have each other
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -134,12 +135,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("y"), F.ceil(F.col("n") / BLOCK)))
     asked = salted.select("x", "salt", F.lit(0).alias("role"), F.col("x").alias("doc")).distinct().union(salted.select("x", "salt", F.lit(1).alias("role"), F.col("y").alias("doc")))
-    rows = asked.join(texts, "doc").select("x", "salt", "role", "doc", "text")
+    rows = asked.join(texts.select("doc", "text"), "doc").select("x", "salt", "role", "doc", "text")
     return rows.repartition("x", "salt").sortWithinPartitions("x", "salt", "role", "doc").mapInArrow(run, PAIR)
 
 
 def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(x, component): documents that may be linked with some member of another, larger component.
+    """(x, own, component): documents that may be linked with some member of another component than their own, a larger one.
 
     Takes one pair of blocks of a bucket after the other: one of documents outside the
     bucket's main component and one of any members.  Two documents that share several
@@ -147,7 +148,7 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     """
     least = _least_matches(percent)
     key, held = None, []
-    seen: set[tuple[int, int]] = set()
+    seen: set[tuple[int, int, int]] = set()
 
     def compare() -> Iterator[pa.RecordBatch]:
         role, doc, size, comp, members = (np.array([r[k] for r in held]) for k in range(5))
@@ -157,21 +158,21 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         sig = np.frombuffer(b"".join(r[5] for r in held), np.uint8).reshape(len(held), -1)
         bands = np.array([r[6] for r in held], np.int32)
         earlier = bands[:, : int((bands == key[0] >> 32).all(0).argmax())]
-        asked: set[tuple[int, int]] = set()
+        asked: set[tuple[int, int, int]] = set()
         for i in asking:
             ok = (comp[own] != comp[i]) & (100 * np.minimum(size[own], size[i]) >= percent * np.maximum(size[own], size[i]))
             at = own[ok & ((role[own] == INSIDE) | (doc[own] > doc[i]))]
             at = at[(sig[at] == sig[i]).sum(1) >= least]
             at = at[~(earlier[at] == earlier[i]).any(1)]
             larger = (members[at] > members[i]) | ((members[at] == members[i]) & (comp[at] < comp[i]))
-            asked.update((int(doc[i]), int(c)) for c in np.unique(comp[at[larger]]))
-            asked.update((int(d), int(comp[i])) for d in doc[at[~larger]])
+            asked.update((int(doc[i]), int(comp[i]), int(c)) for c in np.unique(comp[at[larger]]))
+            asked.update((int(doc[k]), int(comp[k]), int(comp[i])) for k in at[~larger])
         asked -= seen
         if len(seen) > SEEN:
             seen.clear()
         seen.update(asked)
         if asked:
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in asked], pa.int64()) for k in (0, 1)], names=["x", "component"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in asked], pa.int64()) for k in range(3)], names=["x", "own", "component"])
 
     for b in batches:
         columns = [c.to_pylist() for c in b.columns]
@@ -185,21 +186,23 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield from compare()
 
 
-def _across_components(members: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, scratch: tables.Scratch) -> DataFrame:
-    """Distinct (x, component) still to be compared; ``labels`` has node, component and members.
+def _across_components(members: DataFrame, classes: DataFrame, labels: DataFrame, sizes: DataFrame, percent: int, scratch: tables.Scratch) -> DataFrame:
+    """Distinct (x, own, component) still to be compared; ``labels`` has node and component, ``sizes`` component and members.
 
     In a bucket with several components, every document outside the bucket's main one
     (the largest component that any of its members is in) meets every member.
     """
-    named = members.join(labels, members["doc_id"] == labels["node"], "left").select(
+    labelled = labels.join(sizes, "component")
+    named = members.join(labelled, members["doc_id"] == labelled["node"], "left").select(
         "bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("members", F.lit(1).cast("long")).alias("members")
     )
     named = scratch.stage(named, "members_named")
-    found = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by("component", F.struct("members", "component")).alias("main"))
-    open_buckets = scratch.stage(found.filter("lo <> hi").select("bucket", "main"), "open_buckets")
-    rows = scratch.stage(named.join(open_buckets, "bucket").withColumn("out", F.col("component") != F.col("main")), "members_open")
-    outside = scratch.stage(rows.filter("out").groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("outside")), "outside_sizes")
-    rows = rows.join(outside, "bucket").join(classes.select("doc_id", "n_shingles", "signature", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("bands")), "doc_id")
+    shares = named.groupBy("bucket", "component").agg(F.max("n").alias("n"), F.max("members").alias("members"), F.count(F.lit(1)).alias("share"))
+    found = shares.groupBy("bucket").agg(F.max("n").alias("n"), F.max(F.struct("members", "component", "share")).alias("main")).filter("n > main.share")
+    found = found.select("bucket", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("main.share")) / BLOCK).alias("outside"))
+    open_buckets = scratch.stage(found, "open_buckets")
+    rows = named.join(open_buckets, "bucket").withColumn("out", F.col("component") != F.col("main"))
+    rows = rows.join(classes.select("doc_id", "n_shingles", "signature", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("bands")), "doc_id")
     blocks = F.ceil(F.col("n") / BLOCK)
     # An outside block is low, a block of any members high; an outside document comes as both.
     all_low, all_high = F.sequence(F.lit(0).cast("long"), F.col("outside") - 1), F.sequence(F.lit(0).cast("long"), blocks - 1)
@@ -209,15 +212,16 @@ def _across_components(members: DataFrame, classes: DataFrame, labels: DataFrame
     sent = rows.withColumn("to", F.explode(F.when(F.col("out"), F.concat(as_member, as_outside)).otherwise(as_member)))
     dealt = sent.select("bucket", "to.low", "to.high", "to.role", "doc_id", "n_shingles", "component", "members", "signature", "bands")
     dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    return dealt.mapInArrow(lambda b: _across(b, percent), "x long, component long").distinct()
+    return dealt.mapInArrow(lambda b: _across(b, percent), "x long, own long, component long").distinct()
 
 
-def _members_linked(asked: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, scratch: tables.Scratch) -> DataFrame:
-    """For each (x, component) a link of x, confirmed on the full sets, with one member in each block of the component that has any.
+def _components_linked(asked: DataFrame, labels: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, percent: int, scratch: tables.Scratch) -> DataFrame:
+    """(x, y): of each asked pair of components, own and other, those between which the full sets confirm a link.
 
     A component's members are sent in blocks, once for every ``LINK_BLOCK`` of documents that
     ask for it; each x is sent to every block and compared with the members whose
-    signatures allow a link, until one is confirmed.
+    signatures allow a link, until one is confirmed.  In a task the others of its own
+    component need no look after that.
     """
     least = _least_matches(percent)
 
@@ -225,48 +229,46 @@ def _members_linked(asked: DataFrame, labels: DataFrame, classes: DataFrame, tex
         key, inside = None, []
         for b in batches:
             found: list[tuple[int, int]] = []
-            comps, blocks, salts, roles, docs, sigs = (b.column(k).to_pylist() for k in range(6))
-            for i, part in textnum.byte_slices(b.column(6)):
+            comps, blocks, salts, roles, docs, owns, sigs = (b.column(k).to_pylist() for k in range(7))
+            for i, part in textnum.byte_slices(b.column(7)):
                 sets, bounds = shingles.shingle_sets(part, width)
                 for k in range(len(part)):
                     own, sig = sets[bounds[k] : bounds[k + 1]], np.frombuffer(sigs[i + k], np.uint8)
                     if (comps[i + k], blocks[i + k], salts[i + k]) != key:
-                        key, inside, stacked = (comps[i + k], blocks[i + k], salts[i + k]), [], None
+                        key, inside, stacked, joined = (comps[i + k], blocks[i + k], salts[i + k]), [], None, set()
                     if roles[i + k] == 0:
-                        inside.append((docs[i + k], own.copy(), sig))
+                        inside.append((own.copy(), sig))
                         continue
-                    if not inside:
+                    if not inside or owns[i + k] in joined:
                         continue
                     if stacked is None:
-                        stacked = np.stack([s for _, _, s in inside])
+                        stacked = np.stack([s for _, s in inside])
                     alike = (stacked == sig).sum(1)
                     for m in np.argsort(-alike, kind="stable"):
                         if alike[m] < least:
                             break
-                        doc, other, _ = inside[m]
+                        other = inside[m][0]
                         if 100 * min(len(own), len(other)) < percent * max(len(own), len(other)):
                             continue
                         shared = shingles.overlap(own, other)
                         if 100 * shared >= percent * (len(own) + len(other) - shared):
-                            found.append((docs[i + k], doc))
+                            found.append((owns[i + k], comps[i + k]))
+                            joined.add(owns[i + k])
                             break
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["x", "y"])
 
-    wanted = scratch.stage(asked.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / LINK_BLOCK).alias("askers")), "components_asked")
     # A component of one document isn't among the labels; it is its own only member.
-    own = wanted.join(labels.select("component", "node", "members"), "component", "left")
-    own = own.select("component", "askers", F.coalesce("node", "component").alias("doc"), F.ceil(F.coalesce("members", F.lit(1)) / LINK_BLOCK).alias("blocks"))
-    own = scratch.stage(own, "members_asked")
-    sizes = scratch.stage(own.groupBy("component").agg(F.max("blocks").alias("blocks"), F.max("askers").alias("askers")), "blocks_asked")
+    wanted = asked.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / LINK_BLOCK).alias("askers")).join(sizes, "component", "left")
+    wanted = scratch.stage(wanted.select("component", "askers", F.ceil(F.coalesce("members", F.lit(1)) / LINK_BLOCK).alias("blocks")), "components_asked")
+    own = wanted.join(labels, "component", "left").select("component", "askers", "blocks", F.coalesce("node", "component").alias("doc"))
 
     def every(upto: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(upto) - 1))
 
-    inside = own.select("component", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"), every("askers").alias("salt"), F.lit(0).alias("role"), "doc")
-    outside = asked.join(sizes, "component").select("component", every("blocks").alias("block"), F.pmod(F.xxhash64("x"), F.col("askers")).alias("salt"), F.lit(1).alias("role"), F.col("x").alias("doc"))
-    rows = inside.union(outside).join(texts, "doc").join(classes.select(F.col("doc_id").alias("doc"), "signature"), "doc")
-    dealt = rows.repartition("component", "block", "salt").sortWithinPartitions("component", "block", "salt", "role", "doc")
-    return dealt.select("component", "block", "salt", "role", "doc", "signature", "text").mapInArrow(run, PAIR)
+    inside = own.select("component", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"), every("askers").alias("salt"), F.lit(0).alias("role"), "doc", F.col("component").alias("own"))
+    outside = asked.join(wanted, "component").select("component", every("blocks").alias("block"), F.pmod(F.xxhash64("x"), F.col("askers")).alias("salt"), F.lit(1).alias("role"), F.col("x").alias("doc"), "own")
+    rows = inside.union(outside).join(texts, "doc").select("component", "block", "salt", "role", "doc", "own", "signature", "text")
+    return rows.repartition("component", "block", "salt").sortWithinPartitions("component", "block", "salt", "role", "doc").mapInArrow(run, PAIR)
 
 
 def near_groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -282,26 +284,26 @@ def near_groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wi
     buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = scratch.stage(buckets, "buckets")
     members = scratch.stage(banded.join(buckets, "bucket"), "members")
-    candidates = scratch.stage(members.select(F.col("doc_id").alias("doc")).distinct(), "candidates")
-    texts = scratch.stage(docs.withColumnRenamed("doc_id", "doc").join(candidates, "doc", "left_semi").dropDuplicates(["doc"]), "candidate_texts")
-
     hubs = members.groupBy("bucket").agg(*[F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k))).alias(f"hub_{k}") for k in range(HUBS)])
     hubs = scratch.stage(hubs.select("bucket", F.array_distinct(F.array(*[f"hub_{k}" for k in range(HUBS)])).alias("hubs")), "hubs")
     # A document is in BANDS buckets at most, so what is gathered for it is bounded.
-    held = members.select("bucket", "doc_id", "n").join(hubs, "bucket").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs"), F.max("n").alias("n"))
-    star = held.select("doc_id", "n", F.explode("hubs").alias("hub")).filter("doc_id <> hub").groupBy(F.least("hub", "doc_id").alias("x"), F.greatest("hub", "doc_id").alias("y")).agg(F.max("n").alias("n"))
-    pairs = scratch.stage(_similar_signatures(star, classes, percent), "pairs")
+    held = members.join(hubs, "bucket").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs"), F.max("n").alias("n"))
+    held = scratch.stage(held.join(classes.select("doc_id", "n_shingles", "signature"), "doc_id"), "candidates")
+    # Ids alone, so that texts of no candidate need not be shuffled while the ids can be broadcast.
+    ids = scratch.stage(held.select(F.col("doc_id").alias("doc")), "candidate_ids")
+    texts = docs.withColumnRenamed("doc_id", "doc").join(ids, "doc", "left_semi").dropDuplicates(["doc"])
+    texts = scratch.stage(texts.join(held.select(F.col("doc_id").alias("doc"), "signature"), "doc"), "candidate_texts")
+
+    pairs = scratch.stage(_similar_signatures(held, classes, percent), "pairs")
     links = scratch.stage(_confirmed(pairs, texts, width, percent), "links")
-    labels = scratch.stage(components.connected(links, scratch), "labels")
+    labels = components.connected(links, scratch)
     sizes = scratch.stage(labels.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component_sizes")
-    sized = scratch.stage(labels.join(sizes, "component").select("node", "component", "members"), "labels_sized")
-    asked = scratch.stage(_across_components(members, classes, sized, percent, scratch), "asked")
-    if not asked.isEmpty():
-        found = scratch.stage(_members_linked(asked, sized, classes, texts, width, percent, scratch), "links_across")
-        if not found.isEmpty():
-            labels = scratch.stage(components.connected(links.union(found), scratch), "labels")
-
+    asked = scratch.stage(_across_components(members, classes, labels, sizes, percent, scratch), "asked")
     named = classes.join(labels, classes["doc_id"] == labels["node"], "left").select("set_hi", "set_lo", "copies", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    if not asked.isEmpty():
+        found = scratch.stage(_components_linked(asked, labels, sizes, texts, width, percent, scratch), "links_across")
+        merged = components.connected(found, scratch).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        named = named.join(merged, "component", "left").withColumn("component", F.coalesce("whole", "component"))
     named = scratch.stage(named.filter("copies > 1 OR component <> doc_id").select("set_hi", "set_lo", "component"), "components")
     scratch.drop("profiles", "components")
     out = profiles.select("doc_id", "n_shingles", "set_hi", "set_lo").join(named, ["set_hi", "set_lo"], "left")
